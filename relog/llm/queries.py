@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, sharding
+from . import ann, bpe, media, mixing, pii, ppm, quality, sharding, simhash
 from .common import documents
 
 
@@ -18,6 +18,22 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.pack_shards(documents(spark, sf_dir))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_texts(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_taken(documents(spark, sf_dir))
 
@@ -26,9 +42,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(documents(spark, sf_dir))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op7_mixing, op8_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_quality, op4_neighbours, op5_ppm, op7_mixing, op8_bpe, op9_media, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
