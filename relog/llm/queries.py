@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, media, mixing, pii, ppm, quality, sharding, simhash
+from . import ann, bpe, media, mixing, passages, pii, ppm, quality, sharding, simhash
 from .common import documents
 
 
@@ -34,6 +34,10 @@ def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_texts(documents(spark, sf_dir))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_taken(documents(spark, sf_dir))
 
@@ -50,5 +54,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_quality, op4_neighbours, op5_ppm, op7_mixing, op8_bpe, op9_media, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_quality, op4_neighbours, op5_ppm, op6_passages, op7_mixing, op8_bpe, op9_media, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import checkpoint
 from .components import components
@@ -34,16 +35,17 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of docs (doc_id, text); bytes.lower and bytes.split
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *keep: str) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) of docs (doc_id, text), with more long columns to keep; bytes.lower and bytes.split
     treat just A-Z and the white space of the contract. No shuffle; one text in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint((t.as_py() or "").encode().lower().split(), shingle) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64), pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *keep)), pa.array(fps.view(np.int64), pa.int64())], names=["doc_id", *keep, "fp"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    chosen = docs.select(*(F.col(c).cast("long").alias(c) for c in ("doc_id", *keep)), F.col("text").cast("string").alias("text"))
+    return chosen.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *keep, "fp")))
 
 
 class BKTree:
@@ -167,9 +169,24 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     passed over when a component's smallest id is taken (a component of null ids alone has null);
     repeated ids and rows are kept. An empty table gives an empty result."""
     prints = checkpoint(fingerprints(docs, shingle))
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return prints.join(classes(prints, radius), "fp").select("doc_id", hexed, "component_id")
+
+
+def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, component (its smallest fingerprint), component_id for the different fingerprints of prints
+    (doc_id, fp)."""
     each = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(each.select("fp"), radius)).withColumnRenamed("node", "fp")
     joined = each.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    ids = joined.join(joined.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(checkpoint(ids), "fp").select("doc_id", hexed, "component_id")
+    return checkpoint(joined.join(joined.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component", "component_id"))
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """docs (doc_id, text, lang, source, n_chars) with one document of each component: that of the
+    smallest doc_id (null last), and of rows with that id, one by the hash of the text."""
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("row", F.xxhash64("doc_id", "text"))
+    prints = checkpoint(docs.select("doc_id", "row", "text").transform(lambda d: fingerprints(d, shingle, "row")))
+    least = prints.join(classes(prints, radius), "fp").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x")).select("x.row")
+    same = W.partitionBy("row").orderBy("lang", "source", "n_chars")
+    return docs.join(least, "row").withColumn("n", F.row_number().over(same)).where(F.col("n") == 1).drop("row", "n")
