@@ -14,8 +14,9 @@ SHARE = 1.5
 REPEATS = 2
 SHARDS = 16
 ROUNDS = 8
-#: Slots are made in chunks of so many, so that a hot source's slots are made in many tasks.
-CHUNK = 4096
+#: Slots are made in chunks of so many, and tasks get a few chunks, so that a hot source's slots are made
+#: in many tasks. The number of tasks is set, as Spark would put the few and small chunk rows into one.
+CHUNK, CHUNKS_A_TASK, MOST_TASKS = 4096, 4, 20_000
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -62,13 +63,20 @@ def with_starts(sized: DataFrame, rows: int) -> DataFrame:
     return sized.join(offsets, ["s", "bucket"]).withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
 
 
-def drawn_slots(targets: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
+def size_of(sized: DataFrame) -> tuple[int, int]:
+    """Number of rows, and of all words."""
+    rows, total = sized.agg(F.count("*"), F.sum("size")).first()
+    return rows, total or 0
+
+
+def drawn_slots(targets: DataFrame, total: int, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
     """One row per slot of the mix: source, epoch, block, shard. Every slot falls into an output shard
     by its hash, so the sources' counts in a shard are one multinomial draw given the sources' totals.
     Slot i of a source with n blocks holds block permutation(i mod n) of epoch i div n."""
+    tasks = min(MOST_TASKS, 1 + int(SHARE * total / block / CHUNK / CHUNKS_A_TASK))
     plan = targets.where(F.col("source_size") > 0).select(
         "source", F.ceil(F.col("source_size") / block).alias("n"), F.round(F.col("target") * F.ceil(F.col("source_size") / block) / F.col("source_size")).cast("long").alias("slots"))
-    chunks = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("slots") / CHUNK)))).repartition("source", "chunk")
+    chunks = plan.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("slots") / CHUNK)))).repartition(tasks, "source", "chunk")
     last = F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1
     slots = chunks.where(last >= F.col("chunk") * CHUNK).withColumn("slot", F.explode(F.sequence(F.col("chunk") * CHUNK, last)))
     seed = F.xxhash64("source", F.floor(F.col("slot") / F.col("n")))
@@ -87,9 +95,11 @@ def mix_taken(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     draws are hashes."""
     sized = checkpoint(docs.select("doc_id", "source", n_words(text_of()).alias("size"), *text_key()))
     targets = source_targets(sized)
-    starts = with_starts(sized.where(F.col("size") > 0), sized.count())
+    rows, total = size_of(sized)
+    starts = with_starts(sized.where(F.col("size") > 0), rows)
     s = F.struct(F.col("source").isNull().alias("none"), F.col("source").alias("name")).alias("s")
-    times = drawn_slots(targets, block).groupBy(s, "block").agg(F.count("*").alias("times"))
+    # hint: Spark sees the few chunk rows, not the slots made of them, and would broadcast all blocks
+    times = drawn_slots(targets, total, block).groupBy(s, "block").agg(F.count("*").alias("times")).hint("merge")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     parts = starts.select("s", "start", "doc_id", "size", F.explode(F.sequence(first, last)).alias("block"))
     held = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size")) - F.greatest(F.col("block") * block, F.col("start"))
@@ -108,9 +118,10 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     sized = checkpoint(docs.select("*", n_words(text_of()).alias("size"), *text_key()))
     targets = source_targets(sized.select("source", "size"))
     lean = sized.where(F.col("size") > 0).select("doc_id", "source", "size", "k1", "k2", "k3")
-    starts = with_starts(lean, sized.count())
+    rows, total = size_of(sized)
+    starts = with_starts(lean, rows)
     s = F.struct(F.col("source").isNull().alias("none"), F.col("source").alias("name")).alias("s")
-    slots = drawn_slots(targets, block).select(s, "block", "epoch")
+    slots = drawn_slots(targets, total, block).select(s, "block", "epoch").hint("merge")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     same = ["s", "doc_id", "k1", "k2", "k3"]
     copy = F.row_number().over(W.partitionBy(*same).orderBy("start"))
@@ -122,5 +133,5 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     keys = [numbered[c].eqNullSafe(cuts[c]) for c in (*same, "copy")]
     words = words_of(F.col("text"))
     text = F.when(F.col("taken") == F.col("size"), F.col("text")).otherwise(F.array_join(F.flatten(F.transform("cuts", lambda c: F.slice(F.col("words"), (c["begin"] + 1).cast("int"), c["n"].cast("int")))), " "))
-    out = numbered.join(cuts, keys).select(numbered["doc_id"], "text", "lang", "source", "size", "taken", "cuts").withColumn("words", words).withColumn("text", text)
+    out = numbered.join(cuts.hint("merge"), keys).select(numbered["doc_id"], "text", "lang", "source", "size", "taken", "cuts").withColumn("words", words).withColumn("text", text)
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
