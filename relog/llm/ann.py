@@ -91,21 +91,25 @@ def with_blocks(keys: DataFrame) -> DataFrame:
 
 
 def best(group: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Top k + 1 vectors of a data block for each of its queries; scores are sums over the original
-    vectors in one fixed order, so that a pair scores alike wherever it meets."""
+    """Top k + 1 vectors of a data block for each of its queries, ties to the smaller least id; scores are
+    sums over the original vectors in one fixed order, so that a pair scores alike wherever it meets."""
     data, queries = group[group["role"] == 0], group[group["role"] == 1]
     rows = []
     if len(data) and len(queries):
-        x, ids = np.stack(data["vector"].to_list()).astype(np.float64), data["rep"].to_numpy()
+        x, ids, least = np.stack(data["vector"].to_list()).astype(np.float64), data["rep"].to_numpy(), data["least"].to_numpy()
+        norm = float(np.sqrt((x * x).sum(axis=1).max()))
         for at in range(0, len(queries), 512):
             q = np.stack(queries["vector"].iloc[at : at + 512].to_list()).astype(np.float64)
             near = q @ x.T
-            n = min(k + 4, near.shape[1])
-            for i, top in enumerate(np.argpartition(-near, n - 1, axis=1)[:, :n]):
+            n = min(k + 1, near.shape[1])
+            # the product's rounding may order ties otherwise: all that are as near within it stay until scored
+            reach = np.partition(near, near.shape[1] - n, axis=1)[:, near.shape[1] - n] - 1e-12 * norm * np.sqrt((q * q).sum(axis=1))
+            for i in range(len(q)):
+                top = np.flatnonzero(near[i] >= reach[i])
                 score = (x[top] * q[i]).sum(axis=1)
-                order = np.lexsort((ids[top], -score))[: k + 1]
-                rows.append((int(queries["rep"].iloc[at + i]), ids[top][order].tolist(), score[order].tolist()))
-    return pd.DataFrame(rows, columns=["query", "ids", "scores"])
+                order = np.lexsort((least[top], -score))[: k + 1]
+                rows.append((int(queries["rep"].iloc[at + i]), ids[top][order].tolist(), least[top][order].tolist(), score[order].tolist()))
+    return pd.DataFrame(rows, columns=["query", "ids", "leasts", "scores"])
 
 
 def neighbours(vectors: DataFrame, k: int = K, every: int = 20, share: float = SHARE) -> DataFrame:
@@ -113,7 +117,7 @@ def neighbours(vectors: DataFrame, k: int = K, every: int = 20, share: float = S
     whose vec_id is divisible by `every`, ties to the smaller vec_id.
 
     Equal vectors are searched once (a hot vector is one row) and stand for their k + 1 smallest ids,
-    which are all that a result can hold. Each curve is cut into blocks of BLOCK rows; a query meets the
+    which are all that a result can hold; of equally near ones those of smaller ids stay. Each curve is cut into blocks of BLOCK rows; a query meets the
     blocks of its window, and candidates of all curves merge. With few rows the window is the whole
     curve and results are exact.
 
@@ -127,18 +131,19 @@ def neighbours(vectors: DataFrame, k: int = K, every: int = 20, share: float = S
     for part in (["h1", "h2", "salt"], ["h1", "h2"]):
         ids = ids.withColumn("n", F.row_number().over(W.partitionBy(*part).orderBy("vec_id"))).where(F.col("n") <= k + 1)
     members = ids.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
-    reps = checkpoint(good.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.first("vector").alias("vector"), F.max((F.col("vec_id") % every == 0).cast("int")).alias("asks")).join(members, ["h1", "h2"]).withColumn("rep", F.xxhash64("h1", "h2")))
+    reps = checkpoint(good.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.first("vector").alias("vector"), F.max((F.col("vec_id") % every == 0).cast("int")).alias("asks")).join(members, ["h1", "h2"]).withColumn("rep", F.xxhash64("h1", "h2")))
     n, most, square = reps.agg(F.count("*"), F.max(norm := F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), F.avg(norm)).first()
-    placed = with_blocks(curve_keys(reps, dim, float(np.sqrt(most or 1.0)), float(square or 1.0))).join(reps.select("rep", "vector", "asks"), "rep")
+    placed = with_blocks(curve_keys(reps, dim, float(np.sqrt(most or 1.0)), float(square or 1.0))).join(reps.select("rep", "least", "vector", "asks"), "rep")
     blocks = max(1, -(-n // BLOCK))
     side = min(blocks, int(np.ceil(max(share * n, LEAST) / BLOCK / 2)))
     low = F.greatest(F.least(F.col("block") - side, F.lit(blocks - 1 - 2 * side)), F.lit(0))
-    asks = placed.where(F.col("asks") == 1).select("curve", F.floor(F.col("block") / TOGETHER).alias("team"), F.explode(F.sequence(low, F.least(low + 2 * side, F.lit(blocks - 1)))).alias("block"), F.lit(1).alias("role"), "rep", "vector")
+    asks = placed.where(F.col("asks") == 1).select("curve", F.floor(F.col("block") / TOGETHER).alias("team"), F.explode(F.sequence(low, F.least(low + 2 * side, F.lit(blocks - 1)))).alias("block"), F.lit(1).alias("role"), "rep", "least", "vector")
     reach = F.sequence(F.floor(F.greatest(F.col("block") - 2 * side, F.lit(0)) / TOGETHER), F.floor(F.least(F.col("block") + 2 * side, F.lit(blocks - 1)) / TOGETHER))
-    data = placed.select("curve", F.explode(reach).alias("team"), "block", F.lit(0).alias("role"), "rep", "vector")
-    found = data.unionByName(asks).groupBy("curve", "team", "block").applyInPandas(lambda g: best(g, k), "query long, ids array<long>, scores array<double>")
-    # k + 1 candidates of each block: as structs that sort by falling score, then once for each vector
-    merged = found.groupBy("query").agg(F.flatten(F.collect_list(F.zip_with("ids", "scores", lambda i, s: F.struct((-s).alias("far"), i.alias("rep"))))).alias("all"))
+    data = placed.select("curve", F.explode(reach).alias("team"), "block", F.lit(0).alias("role"), "rep", "least", "vector")
+    found = data.unionByName(asks).groupBy("curve", "team", "block").applyInPandas(lambda g: best(g, k), "query long, ids array<long>, leasts array<long>, scores array<double>")
+    # k + 1 candidates of each block: as structs that sort by falling score and least id, once for each vector
+    near = F.transform(F.arrays_zip("scores", "leasts", "ids"), lambda x: F.struct((-x["scores"]).alias("far"), x["leasts"].alias("least"), x["ids"].alias("rep")))
+    merged = found.groupBy("query").agg(F.flatten(F.collect_list(near)).alias("all"))
     top = merged.select("query", F.explode(F.slice(F.array_sort(F.array_distinct("all")), 1, 2 * k + 2)).alias("c")).select("query", "c.rep", "c.far")
     owned = top.groupBy("query", "rep").agg(F.min("far").alias("far")).join(reps.select("rep", "members"), "rep")
     ranked = owned.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("members", lambda m: F.struct(F.col("far"), m.alias("vec_id")))))), 1, k + 1 + k).alias("near"))

@@ -441,3 +441,17 @@ def test_centres_depend_on_the_subsequence_alone(n, kinds):
     h, length = np.random.default_rng(n).integers(0, kinds, n).astype(np.uint64), passages.LENGTH
     centre = {i: c for lo, c, hi in passages.compact_windows(h) for i in range(max(lo, c - length + 1), min(c, hi - length + 1) + 1)}
     assert centre == {i: i + int(h[i : i + length].argmin()) for i in range(n - length + 1)}
+
+
+def test_neighbours_ties_go_to_smaller_ids(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    rng = np.random.default_rng(9)
+    x = rng.integers(-1, 2, (900, 6)).astype(np.float32) + np.array([0, 0, 0, 0, 0, 3], np.float32)
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(900), x, strict=True)]
+    got = defaultdict(list)
+    for r in ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    held = dict(rows)
+    for q in range(0, 900, 20):
+        want = sorted((-sum(a * b for a, b in zip(held[q], v, strict=True)), i) for i, v in rows if i != q)[:20]
+        assert got[q] == [(i, -s) for s, i in want]
