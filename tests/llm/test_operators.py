@@ -455,3 +455,37 @@ def test_neighbours_ties_go_to_smaller_ids(spark, monkeypatch):
     for q in range(0, 900, 20):
         want = sorted((-sum(a * b for a, b in zip(held[q], v, strict=True)), i) for i, v in rows if i != q)[:20]
         assert got[q] == [(i, -s) for s, i in want]
+
+
+def test_near_copies_are_dropped(spark):
+    """Edited copies of similarity 0.8 to 0.95 and chains of them against brute force; texts under 0.8 all stay."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"term{i}" for i in range(3000)]
+    rows = []
+    for _ in range(40):
+        base = rng.choice(vocabulary, 200).tolist()
+        for edits in (0, 0, 1, 2, 3, 4, 6, 9):
+            t = base.copy()
+            for at in rng.choice(200, edits, replace=False):
+                t[at] = f"edit{rng.integers(10**6)}"
+            rows.append((len(rows), " ".join(t)))
+    base = rng.choice(vocabulary, 300).tolist()
+    for i in range(30):  # each near the next, the ends have nothing in common
+        rows.append((len(rows), " ".join(base[i * 6 : i * 6 + 120])))
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    root, direct = list(range(len(rows))), 0
+    for j in range(len(rows)):
+        for i in range(j):
+            n = len(sets[i] & sets[j])
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+                direct += 1
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
+    want = set(root)
+    assert want <= got, "a text without a near copy was dropped"
+    assert direct > 300 and len(got - want) <= 0.01 * (len(rows) - len(want)), got - want
