@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame
 #: How byte-level vocabularies cut a text into pieces (fixed value, public).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 400_000
+#: Tokens after which a task hands on what it has.
+PART = 1_000_000
+ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
@@ -185,11 +188,12 @@ def pairs_of(spec: str) -> BytePairs:
     return _MADE[key]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Encode and decode every text of docs (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256.
+def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Encode and decode every text of docs (doc_id, text): doc_id, ids (its tokens), decoded (the text that
+    these tokens stand for).
 
     tokenizer: path of the vocabulary file on the driver; its content (about 1.5 MB) is broadcast. Each
-    row stays in its task: no shuffle, and memory as one Arrow batch and one text. Null texts are empty
+    row stays in its task: no shuffle, and memory as one Arrow batch and PART tokens. Null texts are empty
     and have no tokens; null or repeated ids and repeated rows are kept; an empty table gives an empty
     result."""
     with open(tokenizer, encoding="utf-8") as f:
@@ -197,13 +201,38 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = pairs_of(spec.value)
+        for batch in batches:
+            first, ids, texts = 0, [], []
+
+            def out(end: int) -> pa.RecordBatch:
+                offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                tokens = np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int32)
+                return pa.RecordBatch.from_arrays([batch.column("doc_id")[first:end], pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens)), pa.array(texts, pa.string())], schema=ENCODED)  # noqa: B023
+
+            held = 0
+            for at, text in enumerate(batch.column("text")):
+                ids.append(bpe.encode(text.as_py() or ""))
+                texts.append(bpe.decode(ids[-1]))
+                held += len(ids[-1])
+                if held > PART:
+                    yield out(at + 1)
+                    first, ids, texts, held = at + 1, [], [], 0
+            yield out(batch.num_rows)
+
+    chosen = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    return chosen.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+
+def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what encoded makes of docs (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column("text"):
-                ids = bpe.encode(text.as_py() or "")
-                rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
+            for ids, text in zip(batch.column("ids"), batch.column("decoded"), strict=True):
+                ids = ids.values.to_numpy(zero_copy_only=False)
+                rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.as_py().encode()).hexdigest()))
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(OUT)[1:], strict=True))], schema=OUT)
 
-    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return ids.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded(docs, tokenizer).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -18,6 +18,8 @@ from .common import checkpoint
 #: A payload is cut into tiles of 24 x 24 samples of 8 bits.
 SIDE = 24
 TILE = SIDE * SIDE
+#: Digests that a task remembers.
+SEEN = 1_000_000
 ITEM = "struct<position:int,kind:string,text:string,media:string,caption:string>"
 _BREAKS = {"p", "div", "br", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "figure", "article", "section", "ul", "ol", "table", "blockquote", "pre", "title"}
 _SILENT = {"script", "style", "noscript", "template"}
@@ -137,14 +139,56 @@ def feature(samples: bytes) -> str:
     return f"{bits.tobytes().hex()}:{x.mean():.4f}:{x.std():.4f}"
 
 
+def stored_media(docs: DataFrame) -> DataFrame:
+    """digest, media: the stored image of every text of docs (doc_id, text), written to reliable storage and
+    read back. Images stay in their tasks: one that a task has written lately is not written again, but
+    equal texts of different tasks have a row each, with equal bytes."""
+
+    def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            digests, media = [], []
+            for t in batch.column("text"):
+                m = store(padded(t.as_py())[1])
+                digest = hashlib.sha256(m).hexdigest()
+                if digest not in seen:
+                    if len(seen) > SEEN:
+                        seen.clear()
+                    seen.add(digest)
+                    digests.append(digest)
+                    media.append(m)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
+
+    return checkpoint(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(images, "digest string, media binary"))
+
+
+def described(stored: DataFrame) -> DataFrame:
+    """digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of stored
+    (digest, media): one row a digest."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for m in batch.column("media"):
+                raw = m.as_py()
+                samples = load(raw)
+                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(samples)))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["digest", *names])
+
+    return checkpoint(stored.mapInArrow(read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").distinct())
+
+
 def document_media(docs: DataFrame) -> DataFrame:
     """Each text of docs (doc_id, text) as the medium of an interleaved document: doc_id, n_bytes,
     payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; position and caption
     of the reference follow.
 
     A document's HTML refers to its stored image by digest. The sequence is parsed from that HTML, and
-    the reference meets the image's row, read back from the stored bytes, in a join by digest; equal
-    texts share one image. Only digests and features are shuffled, never payloads. Null texts are
+    the reference meets what was read back from the image's stored bytes (stored_media) in a join by
+    digest. Only digests and features are shuffled, never payloads. Null texts are
     empty (one tile of padding); null or repeated ids and repeated rows are kept; an empty table gives an
     empty result."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -158,24 +202,5 @@ def document_media(docs: DataFrame) -> DataFrame:
                 rows.append((n, f'<article><figure><img src="sha256:{digest}"><figcaption>{escape(f"{n} bytes of text")}</figcaption></figure></article>'))
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64())], names=["doc_id", "n_bytes"]), pa.array([r[1] for r in rows], pa.string())], names=["k", "html"])
 
-    def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            media = [store(padded(t.as_py())[1]) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for m in batch.column("media"):
-                raw = m.as_py()
-                samples = load(raw)
-                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(samples)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["digest", *names])
-
-    stored = texts.select("text").mapInArrow(images, "digest string, media binary")
-    payloads = checkpoint(stored.mapInArrow(read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").distinct())
     sequences = interleaved(texts.mapInArrow(pages, "k struct<doc_id:bigint,n_bytes:bigint>, html string"), "k", "html")
-    return resolved(sequences, payloads, "k").select("k.doc_id", "k.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return resolved(sequences, described(stored_media(texts)), "k").select("k.doc_id", "k.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

@@ -6,9 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import brute
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from relog.llm import ann, bpe, media, mixing, passages, pii, ppm, quality, sharding, simhash
 from relog.llm.queries import tokenizer_path
@@ -489,3 +491,23 @@ def test_near_copies_are_dropped(spark):
     want = set(root)
     assert want <= got, "a text without a near copy was dropped"
     assert direct > 300 and len(got - want) <= 0.01 * (len(rows) - len(want)), got - want
+
+
+@pytest.mark.parametrize("table", ["odd", "real"])
+def test_tokens_and_media_are_kept(table, request, monkeypatch):
+    """The operators give the tokens, their text and the stored bytes of every document, not only digests."""
+    docs = request.getfixturevalue(table)
+    library = Tokenizer.from_file(tokenizer_path())
+    library.no_truncation()
+    library.no_padding()
+    monkeypatch.setattr(bpe, "PART", 1000)  # many parts a batch
+    stage = dict(corpus_pipeline.STAGES)["encoding"]
+    got = multiset((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in stage(docs.sparkSession, docs, SF).collect())
+    want = Counter()
+    for d, t in pairs(docs):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want[d, tuple(ids), library.decode(ids, skip_special_tokens=False)] += 1
+    assert got == want
+    stored = {r["digest"]: bytes(r["media"]) for r in media.stored_media(docs).collect()}
+    assert all(hashlib.sha256(m).hexdigest() == d for d, m in stored.items())
+    assert {media.load(m) for m in stored.values()} == {media.padded(t)[1] for _, t in pairs(docs)}
