@@ -21,9 +21,8 @@ PATTERNS = {
 }
 #: What a text with a match must hold; the patterns run only on such texts.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-TERM = r"\p{L}{4,}+"
-#: Code points on each side of an entity whose terms may disclose it.
-WINDOW = 80
+#: Between the terms of a text: a term is a run of letters of any length.
+APART = r"[^\p{L}]+"
 #: A term discloses an entity if pointwise mutual information reaches this share of the entity's
 #: information content, in at least SUPPORT different texts.
 DISCLOSURE = 0.9
@@ -31,9 +30,10 @@ SUPPORT = 3
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
-def located(text: Column, pattern: str, kind: str) -> Column:
+def located(text: Column, pattern: str | Column, kind: str) -> Column:
     """Array of SPAN for all matches: what split leaves between the matches gives their places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern)
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     pairs = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
 
     def step(acc: Column, p: Column) -> Column:
@@ -79,44 +79,48 @@ def with_base(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def nearby(text: Column, spans: Column) -> Column:
-    """For each entity the terms beside it: array of (entity, term, start, end), outside all base spans
-    and not cut by the window's far edge."""
+def forms(text: Column) -> Column:
+    """The different terms of a text, as written."""
+    return F.array_distinct(F.split(text, APART))
 
-    def moved(entity: Column, by: Column) -> Callable[[Column], Column]:
-        return lambda x: F.struct(F.lower(entity).alias("entity"), F.lower(x["value"]).alias("term"), (x["start"] + by).alias("start"), (x["end"] + by).alias("end"))
 
-    def beside(s: Column) -> Column:
-        begin = F.greatest(s["start"] - WINDOW, F.lit(0))
-        left = F.filter(located(F.substring(text, begin + 1, s["start"] - begin), TERM, "term"), lambda x: (x["start"] > 0) | (begin == 0))
-        right = F.filter(located(F.substring(text, s["end"] + 1, F.lit(WINDOW)), TERM, "term"), lambda x: x["end"] < WINDOW)
-        both = F.concat(F.transform(left, moved(s["value"], begin)), F.transform(right, moved(s["value"], s["end"])))
-        return F.filter(both, lambda x: ~F.exists(spans, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
+def entities_of(spans: Column) -> Column:
+    return F.array_distinct(F.transform(spans, lambda s: F.lower(s["value"])))
 
-    return F.flatten(F.transform(spans, beside))
+
+def marked(text: Column, base: Column, terms: Column) -> Column:
+    """The spans of all occurrences of terms (lower-cased; null: none) in a text, outside its base spans."""
+    own = F.filter(forms(text), lambda x: F.array_contains(terms, F.lower(x)))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(own, "|"), F.lit(r")(?!\p{L})"))
+    outside = F.filter(located(text, pattern, "term"), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
+    return F.when(F.size(own) > 0, outside).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def disclosing_spans(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """k1, k2, k3, terms: for each text the spans of terms that disclose an entity beside them.
+def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """k1, k2, k3, terms: for each text the terms (lower-cased) that disclose an entity of it.
 
-    docs: all texts (t), for the corpus counts of terms. near: (k1, k2, k3, near) of documents with
-    entities. All counts are numbers of documents; a pair's support counts different texts, so copies
-    of one text alone never make a term disclosing."""
+    docs: all texts (t), for the corpus counts of terms. found: (k1, k2, k3, t, base) of documents with
+    entities. A term goes with each entity of the same text, however far apart. All counts are numbers of
+    whole documents; a pair's support counts different texts, so copies of one text alone never make a term
+    disclosing."""
     n = docs.count()
-    each = near.groupBy("k1", "k2", "k3", "near").agg(F.count("*").alias("copies")).withColumn("x", F.explode("near")).select("k1", "k2", "k3", "copies", "x.*")
-    pairs = each.groupBy("entity", "term", "k1", "k2", "k3").agg(F.max("copies").alias("copies")).groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
-    entities = each.groupBy("entity", "k1", "k2", "k3").agg(F.max("copies").alias("copies")).groupBy("entity").agg(F.sum("copies").alias("with_entity"))
-    terms = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col("t")), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= 4).groupBy("term").agg(F.count("*").alias("with_term"))
+    keys = ["k1", "k2", "k3"]
+    lower = F.filter(F.array_distinct(F.transform(forms(F.col("t")), F.lower)), lambda x: x != "").alias("terms")
+    each = checkpoint(found.select(*keys, entities_of(F.col("base")).alias("entities"), lower).groupBy(*keys, "entities", "terms").agg(F.count("*").alias("copies")))
+    held = each.select(*keys, "copies", "terms", F.explode("entities").alias("entity"))
+    rows = held.select(*keys, "copies", "entity", F.explode("terms").alias("term"))
+    pairs = rows.groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
+    entities = held.groupBy("entity").agg(F.sum("copies").alias("with_entity"))
+    terms = docs.select(F.explode(F.array_distinct(F.transform(forms(F.col("t")), F.lower))).alias("term")).where(F.col("term") != "").groupBy("term").agg(F.count("*").alias("with_term"))
     known = pairs.join(entities, "entity").join(terms, "term")
     content = F.log2(F.lit(float(n)) / F.col("with_entity"))
     pmi = F.log2(F.col("both") * F.lit(float(n)) / (F.col("with_entity") * F.col("with_term")))
-    disclosing = known.where((content > 0) & (pmi >= DISCLOSURE * content)).select("entity", "term")
-    span = F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value"))
-    return each.join(disclosing, ["entity", "term"]).groupBy("k1", "k2", "k3").agg(F.sort_array(F.collect_set(span)).alias("terms"))
+    disclosing = checkpoint(known.where((content > 0) & (pmi >= DISCLOSURE * content)).select("entity", "term"))
+    return rows.join(disclosing, ["entity", "term"]).groupBy(*keys).agg(F.collect_set("term").alias("terms"))
 
 
 def keyed(docs: DataFrame, *keep: str) -> DataFrame:
@@ -131,10 +135,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
     equal texts get equal spans. An empty table gives an empty result."""
     texts = keyed(docs, "doc_id")
     base = with_base(texts).withColumn("base", F.concat(*KINDS))
-    base = checkpoint(base.select("doc_id", "k1", "k2", "k3", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], "base", F.when(F.size("base") > 0, nearby(F.col("t"), F.col("base"))).alias("near")))
-    terms = checkpoint(disclosing_spans(texts, base.where(F.size("near") > 0).select("k1", "k2", "k3", "near")))
-    out = base.drop("near").join(terms, ["k1", "k2", "k3"], "left")
-    every = F.concat("base", F.coalesce("terms", F.array().cast(f"array<{SPAN}>")))
+    base = checkpoint(base.select("doc_id", "k1", "k2", "k3", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], "base", F.when(F.size("base") > 0, F.col("t")).alias("t")))
+    terms = checkpoint(disclosing_terms(texts, base.where(F.size("base") > 0)))
+    out = base.join(terms, ["k1", "k2", "k3"], "left")
+    every = F.concat("base", F.when(F.col("terms").isNotNull(), marked(F.col("t"), F.col("base"), F.col("terms"))).otherwise(F.array().cast(f"array<{SPAN}>")))
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(every).alias("spans"))
 
 
@@ -156,9 +160,8 @@ def sanitised(docs: DataFrame) -> DataFrame:
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
     texts = with_base(keyed(docs, *cols)).withColumn("base", F.concat(*KINDS)).drop(*KINDS)
     found = checkpoint(texts.where(F.size("base") > 0))
-    near = found.select("k1", "k2", "k3", nearby(F.col("t"), F.col("base")).alias("near")).where(F.size("near") > 0)
-    terms = checkpoint(disclosing_spans(keyed(docs), near))
-    every = F.concat("base", F.coalesce("terms", F.array().cast(f"array<{SPAN}>")))
+    terms = checkpoint(disclosing_terms(keyed(docs), found))
+    every = F.concat("base", F.when(F.col("terms").isNotNull(), marked(F.col("t"), F.col("base"), F.col("terms"))).otherwise(F.array().cast(f"array<{SPAN}>")))
     text = rewritten(F.col("t"), every)
     changed = found.join(terms, ["k1", "k2", "k3"], "left").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
     return texts.where(F.size("base") == 0).select(*cols).unionByName(changed.select(*cols))

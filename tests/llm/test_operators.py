@@ -511,3 +511,17 @@ def test_tokens_and_media_are_kept(table, request, monkeypatch):
     stored = {r["digest"]: bytes(r["media"]) for r in media.stored_media(docs).collect()}
     assert all(hashlib.sha256(m).hexdigest() == d for d, m in stored.items())
     assert {media.load(m) for m in stored.values()} == {media.padded(t)[1] for _, t in pairs(docs)}
+
+
+def test_terms_far_from_their_entity_disclose_it(spark):
+    """Short names and names over a window away from the entity count, and every occurrence is marked."""
+    filler = " ".join(f"word{i} and so on" for i in range(60))
+    rows = [(i, f"Headline by Lee {i}. {filler} Sent from lee7@agency.org. {filler} Signed: LEE, not Leeward.") for i in range(5)]
+    rows += [(100 + i, f"Leeward text {i} sent, signed: headline by not from. {filler}") for i in range(40)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    text, got = dict(rows), {r["doc_id"]: r["spans"] for r in pii.find_pii(docs).collect()}
+    spans = {d: [s.split(":") for s in x.split(",") if s] for d, x in got.items()}
+    assert all([text[d][int(a) : int(b)] for k, a, b in spans[d] if k == "term"] == ["Lee", "LEE"] for d in range(5)), spans[0]
+    assert all(not spans[d] for d in range(100, 140))
+    out = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
+    assert out[0].startswith("Headline by [TERM] 0.") and out[0].endswith("Signed: [TERM], not Leeward.") and "[EMAIL]" in out[0] and out[100] == text[100]
