@@ -264,17 +264,6 @@ def test_passages(spark):
     assert got == {(0, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 5), (6, 6), (7, 4), (8, 8), (9, 8), (None, 6), (10, 10)}
 
 
-def test_compact_windows_cover_each_subsequence_once():
-    rng = np.random.default_rng(2)
-    for n in (1, 7, 40):
-        h = rng.integers(0, 12, n).astype(np.uint64)
-        found = passages.compact_windows(h, 1)
-        for i in range(n):
-            for j in range(i, n):
-                own = [c for lo, c, hi in found if lo <= i <= c <= j <= hi]
-                assert len(own) == 1 and h[own[0]] == h[i : j + 1].min()
-
-
 @pytest.mark.parametrize("table", ["odd", "real"])
 def test_mixing(table, request):
     docs = request.getfixturevalue(table)
@@ -419,32 +408,6 @@ def test_awkward_rows_pass(f, odd):
     assert f(odd).count() > 0
 
 
-def test_equal_passages_of_groups_are_all_linked(spark, monkeypatch):
-    """Texts that share one half of a passage with many, and the whole with few; also with little held."""
-    word = lambda i, n: [f"w{i}x{j}" for j in range(n)]
-    rows = []
-    for i in range(40):
-        middle = word(1000, 30) + word(2000 + i // 4 % 5, 25)  # 30 words of all, 55 words of each fourth
-        rows.append((i, " ".join(word(i, i * 7 % 60) + middle + word(3000 + i, i * 11 % 50))))
-    rows += [(100 + i, " ".join(["again and again"] * (60 + i) + word(5000, 51) + word(6000 + i, 9))) for i in range(3)]
-    first = {}
-    for i, t in rows:
-        w = t.split()
-        for at in range(len(w) - passages.WORDS + 1):
-            first.setdefault(" ".join(w[at : at + passages.WORDS]), set()).add(i)
-    for held in (passages.HELD, 8):
-        monkeypatch.setattr(passages, "HELD", held)
-        got = {r.doc_id: r.class_id for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-        assert all(len({got[i] for i in ids}) == 1 for ids in first.values())
-
-
-@pytest.mark.parametrize(("n", "kinds"), [(60, 5), (300, 4), (400, 1000), (500, 30), (46, 1), (250, 1)])
-def test_centres_depend_on_the_subsequence_alone(n, kinds):
-    h, length = np.random.default_rng(n).integers(0, kinds, n).astype(np.uint64), passages.LENGTH
-    centre = {i: c for lo, c, hi in passages.compact_windows(h) for i in range(max(lo, c - length + 1), min(c, hi - length + 1) + 1)}
-    assert centre == {i: i + int(h[i : i + length].argmin()) for i in range(n - length + 1)}
-
-
 def test_neighbours_ties_go_to_smaller_ids(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 64)
     rng = np.random.default_rng(9)
