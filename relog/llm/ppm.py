@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from .common import checkpoint, crc_mod
 
 #: Bytes of the longest context.
 ORDER = 5
-#: Bound of the trie that tasks get: contexts under a count threshold are left out while more branches
-#: than this exist, so that a broadcast never grows past about 64 MB. Every byte is scored either way.
+#: Bound of the frequent branches whose scores tasks look up themselves, about 48 MB; all others meet the
+#: trie's tables in joins, with the same scores.
 MAX_BRANCHES = 4_000_000
 #: Bound of the frequent words that tasks look up themselves; all others meet their counts in a join.
 MAX_WORDS = 262_144
@@ -55,59 +56,10 @@ def in_chunks(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
         yield held
 
 
-def _low(n: int) -> np.uint64:
-    """Mask of the last n bytes."""
-    return np.uint64((1 << (8 * n)) - 1)
+class Lookup:
+    """Hash table from 64-bit keys to 32-bit floats; most lookups end in their first slot."""
 
-
-class Trie:
-    """A static PPM model: branches (context and next byte) with counts, for contexts of 0 to `order`
-    bytes. Escapes are by method C: a context's number of different next bytes counts as escapes.
-    Bytes that a longer context has seen are excluded below it; as a context's bytes are also bytes of
-    each shorter one, what remains below depends on the longer context alone and is computed once."""
-
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], order: int):
-        """tables: for each order the keys (ascending) and counts of its branches."""
-        self.order, self.keys, self.log = order, [k for k, _ in tables], []
-        self.nodes, self.total, self.escape, self.below, self.below_escape = [], [], [], [], []
-        sums: list[np.ndarray] = []
-        kinds: list[np.ndarray] = []
-        for j, (keys, n) in enumerate(tables):
-            context = keys >> np.uint64(8)  # ascending, as the keys are
-            fresh = np.concatenate([[True], context[1:] != context[:-1]])[: len(keys)]
-            nodes, at, n = context[fresh], np.cumsum(fresh) - 1, n.astype(np.float64)
-            total, kind = np.bincount(at, n, len(nodes)), np.bincount(at, minlength=len(nodes)).astype(np.float64)
-            self.nodes.append(nodes)
-            self.log.append(np.log10(n))
-            self.total.append(np.log10(total + kind))
-            self.escape.append(np.log10(kind / (total + kind)).astype(np.float32))
-            if j:
-                up = self.find(self.nodes[j - 1], nodes & _low(j - 1))
-                lower = tables[j - 1][1][self.find(tables[j - 1][0], keys & _low(j))]
-                left = sums[j - 1][up] - np.bincount(at, lower, len(nodes))
-                kinds_left = kinds[j - 1][up] - kind
-                den = np.maximum(left + kinds_left, 1)
-                self.below.append(np.log10(den))
-                self.below_escape.append(np.where(kinds_left > 0, np.log10(np.maximum(kinds_left, 1) / den), 0.0).astype(np.float32))
-            else:
-                self.below.append(np.zeros(0))
-                self.below_escape.append(np.zeros(0))
-            sums.append(total)
-            kinds.append(kind)
-        keys, n = tables[order]
-        owner = self.find(self.nodes[order], keys >> np.uint64(8))
-        self._fill(keys, self.log[order] - self.total[order][owner] if len(keys) else np.zeros(0))
-
-    @staticmethod
-    def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Places of keys in sorted_keys, -1 where there is none."""
-        if not len(sorted_keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-        return np.where(sorted_keys[at] == keys, at, -1)
-
-    def _fill(self, keys: np.ndarray, logs: np.ndarray) -> None:
-        """Hash table of the longest contexts' branches: most bytes end in its first slots."""
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2.5))))
         self.slots, self.values = np.full(1 << self.bits, EMPTY), np.zeros(1 << self.bits, np.float32)
         at, rest = self._hash(keys), np.arange(len(keys))
@@ -115,7 +67,7 @@ class Trie:
             free = self.slots[at] == EMPTY
             _, first = np.unique(np.where(free, at, -1), return_index=True)
             first = first[free[first]]
-            self.slots[at[first]], self.values[at[first]] = keys[rest[first]], logs[rest[first]]
+            self.slots[at[first]], self.values[at[first]] = keys[rest[first]], values[rest[first]]
             stay = np.ones(len(rest), bool)
             stay[first] = False
             at, rest = (at[stay] + 1) & ((1 << self.bits) - 1), rest[stay]
@@ -123,8 +75,8 @@ class Trie:
     def _hash(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def scores(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte after its context."""
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of keys (0 where there is none), and the places of the keys that have none."""
         at = self._hash(keys)
         got = self.slots[at]
         out = self.values[at].astype(np.float64)
@@ -138,31 +90,9 @@ class Trie:
             out[rest[hit]] = self.values[at[hit]]
             missing.append(rest[empty])
             rest, at = rest[~hit & ~empty], at[~hit & ~empty]
-        some = np.concatenate(missing)
-        if len(some):
-            out[some] = self.escaped(keys[some])
-        return out
-
-    def escaped(self, keys: np.ndarray) -> np.ndarray:
-        """Scores of bytes that their longest context has not seen: down the orders, by exclusion."""
-        out, open_ = np.zeros(len(keys)), np.arange(len(keys))  # sums in double precision
-        above = np.full(len(keys), -1)
-        for j in range(self.order, -1, -1):
-            k = keys[open_]
-            node, branch = self.find(self.nodes[j], (k >> np.uint64(8)) & _low(j)), self.find(self.keys[j], k & _low(j + 1))
-            fresh = (above < 0) & (node >= 0)
-            old = above >= 0
-            den, esc = np.zeros(len(k)), np.zeros(len(k))
-            den[fresh], esc[fresh] = self.total[j][node[fresh]], self.escape[j][node[fresh]]
-            if j < self.order:
-                den[old], esc[old] = self.below[j + 1][above[old]], self.below_escape[j + 1][above[old]]
-            hit = branch >= 0
-            out[open_[hit]] += self.log[j][branch[hit]] - den[hit]
-            out[open_[~hit]] += esc[~hit]
-            open_, above = open_[~hit], node[~hit]
-        seen = len(self.keys[0])
-        out[open_] -= np.log10(max(1, 256 - seen))
-        return out
+        none = np.concatenate(missing)
+        out[none] = 0
+        return out, none
 
 
 def threshold(counted: DataFrame, n: str, size: str | Column, bound: int) -> int:
@@ -221,34 +151,91 @@ def count_words(training: DataFrame) -> DataFrame:
 _BUILT: list = []
 
 
-def trie_of(tables: list[tuple[np.ndarray, np.ndarray]], order: int) -> Trie:
-    """The trie of broadcast tables, built once in each Python worker; only the last one is kept."""
-    if not _BUILT or _BUILT[0] is not tables:
-        _BUILT[:] = [tables, Trie(tables, order)]
+def lookup_of(table: tuple[np.ndarray, np.ndarray]) -> Lookup:
+    """The hash table of a broadcast table, built once in each Python worker; only the last one is kept."""
+    if not _BUILT or _BUILT[0] is not table:
+        _BUILT[:] = [table, Lookup(*table)]
     return _BUILT[1]
 
 
-def train_trie(training: DataFrame, order: int, bound: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Keys and counts of the trie's branches for each order, about 12 bytes a branch on the driver. Counts of all orders come from those of the longest; kept are contexts from a count threshold on
-    that the bound sets (0 where all fit, and a kept context's suffixes are always kept too)."""
+def low(bytes_: str) -> Column:
+    """Mask of so many last bytes; bytes_ is a SQL expression."""
+    return F.expr(f"shiftleft(1L, 8 * ({bytes_})) - 1")
+
+
+@dataclass(frozen=True)
+class Trie:
+    """A static PPM model as tables. branches: j (bytes of context), key (context and next byte), n. nodes: j,
+    context, total, kinds (different next bytes), and for j > 0 left and kinds_left: what the next shorter
+    context has beside the bytes that this one has seen. frequent: score of branches of the longest
+    contexts, the most frequent ones, at most max_branches. least: they have this count at least.
+
+    Escapes are by method C: a context's number of different next bytes counts as escapes. Bytes that a
+    longer context has seen are excluded below it; as a context's bytes are also bytes of each shorter one,
+    what remains below depends on the longer context alone."""
+
+    order: int
+    branches: DataFrame
+    nodes: DataFrame
+    frequent: tuple[np.ndarray, np.ndarray]
+    least: int
+
+    def scores(self, grams_: DataFrame) -> DataFrame:
+        """gram, value: log10 probability of the byte after its context, for different grams of (gram).
+
+        Those that the longest context has seen end there; the others fetch their branches and nodes of all
+        orders and go down these."""
+        o, gram = self.order, F.col("gram")
+        seen = seen_scores(self.branches, self.nodes, o)
+        first = checkpoint(grams_.join(seen, "gram", "left"))
+        orders = F.explode(F.sequence(F.lit(0), F.lit(o))).alias("j")
+        steps = first.where("value is null").select("gram", orders).select("gram", "j", gram.bitwiseAND(low("j + 1")).alias("key"), F.shiftrightunsigned(gram, 8).bitwiseAND(low("j")).alias("context"))
+        met = steps.join(self.branches, ["j", "key"], "left").join(self.nodes, ["j", "context"], "left")
+        down = F.sort_array(F.collect_list(F.struct((-F.col("j")).alias("up"), "n", "total", "kinds", "left", "kinds_left")))
+
+        def step(acc: Column, x: Column) -> Column:
+            below = acc["den"].isNotNull()
+            den = F.when(below, acc["den"]).otherwise((x["total"] + x["kinds"]).cast("double"))
+            escape = F.when(below, acc["escapes"]).otherwise(x["kinds"].cast("double"))
+            here = F.when(acc["done"], acc["sum"]).when(x["n"].isNotNull(), acc["sum"] + F.log10(x["n"] / den)).otherwise(acc["sum"] + F.coalesce(F.log10(escape / den), F.lit(0.0)))
+            left = F.when(x["left"].isNotNull(), F.greatest(x["left"] + x["kinds_left"], F.lit(1)).cast("double"))  # null: a context never seen
+            # kinds_left 0: nothing remains below, the escape is certain
+            escapes = F.when(x["kinds_left"] > 0, x["kinds_left"].cast("double")).otherwise(left)
+            return F.struct((acc["done"] | x["n"].isNotNull()).alias("done"), here.alias("sum"), left.alias("den"), escapes.alias("escapes"))
+
+        none = F.lit(None).cast("double")
+        start = F.struct(F.lit(False).alias("done"), F.lit(0.0).alias("sum"), none.alias("den"), none.alias("escapes"))
+        new_byte = F.log10(F.lit(float(max(1, 256 - self.branches.where("j = 0").count()))))
+        ends = lambda acc: F.when(acc["done"], acc["sum"]).otherwise(acc["sum"] - new_byte)
+        value = F.aggregate("down", start, step, ends).alias("value")
+        fallen = met.groupBy("gram").agg(down.alias("down")).select("gram", value)  # order + 1 rows a gram
+        return first.where("value is not null").unionByName(fallen)
+
+
+def seen_scores(branches: DataFrame, nodes: DataFrame, order: int) -> DataFrame:
+    """gram, value of all branches of the longest contexts; 32 bits, as tasks hold them."""
+    longest = branches.where(F.col("j") == order).select(F.col("key").alias("gram"), "n", F.shiftrightunsigned("key", 8).alias("context"))
+    own = nodes.where(F.col("j") == order).select("context", (F.col("total") + F.col("kinds")).alias("den"))
+    return longest.join(own, "context").select("gram", F.log10(F.col("n") / F.col("den")).cast("float").cast("double").alias("value"))
+
+
+def train_trie(training: DataFrame, order: int, bound: int) -> Trie:
+    """The trie of the training texts. Counts of all orders come from those of the longest; all of it stays
+    in tables, and only the scores of the frequent branches reach the driver, about 12 bytes each."""
     top = count_grams(training, order)
-    masked = F.array(*[F.struct(F.lit(j).alias("j"), F.col("gram").bitwiseAND(F.lit(int(_low(j + 1)))).alias("key")) for j in range(order + 1)])
+    masked = F.array(*[F.struct(F.lit(j).alias("j"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("key")) for j in range(order + 1)])
     branches = checkpoint(top.select(F.explode(masked).alias("x"), "n").groupBy("x.j", "x.key").agg(F.sum("n").alias("n")))
-    context = F.shiftrightunsigned("key", 8)
-    nodes = branches.groupBy("j", context.alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    least = threshold(nodes, "total", "kinds", bound)
-    if least > 1:
-        branches = branches.withColumn("context", context).join(nodes.where(F.col("total") >= least), ["j", "context"])
-    got = branches.select(F.col("j").cast("byte").alias("j"), "key", "n").toArrow()
-    j, key, n = (got.column(c).to_numpy() for c in ("j", "key", "n"))
-    del got
-    small = np.uint32 if not len(n) or n.max() < 2**32 else np.int64
-    tables = []
-    for o in range(order + 1):
-        k, c = key[j == o].astype(np.uint64), n[j == o].astype(small)
-        by = np.argsort(k)
-        tables.append((k[by], c[by]))
-    return tables
+    context = F.shiftrightunsigned("key", 8).alias("context")
+    plain = checkpoint(branches.groupBy("j", context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")))
+    shorter = branches.where("j > 0").select((F.col("j") - 1).alias("j"), F.col("key").bitwiseAND(low("j")).alias("key"), context)
+    lower = shorter.join(branches, ["j", "key"]).groupBy((F.col("j") + 1).alias("j"), "context").agg(F.sum("n").alias("held"))
+    parent = plain.select((F.col("j") + 1).alias("j"), F.col("context").alias("up"), F.col("total").alias("up_total"), F.col("kinds").alias("up_kinds"))
+    joined = plain.withColumn("up", F.when(F.col("j") > 0, F.col("context").bitwiseAND(low("j - 1"))).otherwise(F.lit(0))).join(lower, ["j", "context"], "left").join(parent, ["j", "up"], "left")
+    nodes = checkpoint(joined.select("j", "context", "total", "kinds", (F.col("up_total") - F.col("held")).alias("left"), (F.col("up_kinds") - F.col("kinds")).alias("kinds_left")))
+    longest = branches.where(F.col("j") == order)
+    least = threshold(longest, "n", F.lit(1), bound)
+    got = seen_scores(branches.where((F.col("j") < order) | (F.col("n") >= least)), nodes, order).select("gram", F.col("value").cast("float").alias("value")).toArrow()
+    return Trie(order, branches, nodes, (got.column("gram").to_numpy().astype(np.uint64), got.column("value").to_numpy()), least)
 
 
 def score_texts(docs: DataFrame, order: int = ORDER, max_branches: int = MAX_BRANCHES, max_words: int = MAX_WORDS) -> DataFrame:
@@ -258,9 +245,10 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_branches: int = MAX_BRA
     training texts. base_score: an add-one unigram model of words and ends. Both learn from all
     documents outside the held-out fold; null ids are in no fold's held-out part.
 
-    Tasks hold a bounded trie and the counts of at most max_words frequent words; a document's other words meet
-    their counts in a join on the word. Null texts are empty: one token, the end. Repeated ids and rows
-    are all scored. An empty table gives an empty result."""
+    Tasks look up the scores of at most max_branches frequent branches and the counts of at most max_words
+    frequent words. A document's other branches and words leave as different ones with their numbers, and meet
+    the trie's tables and the counts in joins; both bounds change no result. Null texts are empty: one
+    token, the end. Repeated ids and rows are all scored. An empty table gives an empty result."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
     training = docs.where(~F.col("held_out"))
@@ -271,18 +259,27 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_branches: int = MAX_BRA
     least = threshold(words, "n", F.lit(1), max_words)
     got = words.where(F.col("n") >= least).toArrow()
     frequent = dict(zip(got.column("word").to_pylist(), got.column("n").to_pylist(), strict=True))
-    model = spark.sparkContext.broadcast((train_trie(training, order, max_branches), {w: float(np.log10(n + 1)) for w, n in frequent.items()}))
+    trie = train_trie(training, order, max_branches)
+    model = spark.sparkContext.broadcast((trie.frequent, {w: float(np.log10(n + 1)) for w, n in frequent.items()}))
     end_log = float(np.log10(ends + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, known = model.value
-        trie, get = trie_of(tables, order), known.get
+        table, known = model.value
+        lookup, get = lookup_of(table), known.get
         for batch in batches:
             texts = [lowered(t.as_py()) for t in batch.column("text")]
             scores: list[float] = []
+            open_grams, open_times = [], []
             for chunk in in_chunks(iter(texts)):
-                first = np.cumsum([0] + [len(t) + 1 for t in chunk[:-1]])
-                scores += np.add.reduceat(trie.scores(grams(chunk, order)), first).tolist()
+                size = np.array([len(t) + 1 for t in chunk])
+                keys = grams(chunk, order)
+                values, none = lookup.get(keys)
+                scores += np.add.reduceat(values, np.cumsum(size) - size).tolist()
+                none.sort()
+                for own in np.split(keys[none], np.searchsorted(none, np.cumsum(size)[:-1])):
+                    k, n = np.unique(own, return_counts=True)
+                    open_grams.append(k.astype(np.int64))
+                    open_times.append(n)
             total, seen, logs, rare, times = [], [], [], [], []
             for t in texts:
                 w = t.split()
@@ -294,13 +291,17 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_branches: int = MAX_BRA
                 rare.append(list(other))
                 times.append(list(other.values()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(total, pa.int64()), pa.array(seen, pa.int64()), pa.array(logs, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))],
-                names=["doc_id", "held_out", "n_tokens", "seen", "logs", "score", "rare", "times"],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(total, pa.int64()), pa.array(seen, pa.int64()), pa.array(logs, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32())), pa.array(open_grams, pa.list_(pa.int64())), pa.array(open_times, pa.list_(pa.int32()))],
+                names=["doc_id", "held_out", "n_tokens", "seen", "logs", "found", "rare", "times", "grams", "gram_times"],
             )
 
-    scored = docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, seen long, logs double, score double, rare array<binary>, times array<int>")
+    scored = docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, seen long, logs double, found double, rare array<binary>, times array<int>, grams array<long>, gram_times array<int>")
     scored = checkpoint(scored.withColumn("row", F.monotonically_increasing_id()))
     other = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     tail = other.join(words.where(F.col("n") < least), "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
+    bytes_ = scored.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("x")).select("row", F.col("x.grams").alias("gram"), F.col("x.gram_times").alias("times"))
+    values = trie.scores(bytes_.select("gram").distinct())
+    fallen = bytes_.join(values, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("fallen"))
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(max(1, n_train + n_kinds + 1 if ends else 1))))
-    return scored.join(tail, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    score = F.col("found") + F.coalesce("fallen", F.lit(0.0))
+    return scored.join(tail, "row", "left").join(fallen, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
