@@ -54,11 +54,6 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def words_of(text: Column) -> Column:
-    """Array of the words of a text, without empty ones."""
-    return F.filter(F.split(text, SPACE, -1), lambda w: w != "")
-
-
 def n_words(text: Column) -> Column:
     """Number of words; split leaves an empty string at either end that begins or ends in white space."""
     parts = F.split(text, SPACE, -1)

@@ -290,6 +290,51 @@ def test_mixing(table, request):
     assert words == Counter({s: n for s, n in taken.items() if n})
 
 
+def test_mixed_texts_keep_white_space(spark):
+    """Words that follow each other in a text that is taken in part keep what stands between them."""
+    gap = lambda i: "\n\n    " if i % 5 == 0 else "\t" if i % 7 == 0 else " "
+    text = {d: "".join(f"d{d}w{i}{gap(i)}" for i in range(1000 + 37 * d)) for d in range(3)}
+    docs = spark.createDataFrame([(d, t, "en", f"s{d}", len(t)) for d, t in text.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.mixed_documents(docs).collect()
+    assert any(r["text"] != text[r["doc_id"]] for r in got)
+    for r in got:
+        w = r["text"].split()
+        assert r["n_chars"] == len(r["text"]) and w == sorted(w, key=lambda x: int(x.split("w")[1]))
+        assert r["text"].rstrip() == "".join(x + gap(int(x.split("w")[1])) for x in w).rstrip()
+
+
+def test_mixing_takes_what_the_slots_say(real):
+    """taken of every document against a count over its words, and the draw of the slots."""
+    sized = real.select("doc_id", "source", mixing.n_words(mixing.text_of()).alias("size"), *mixing.text_key())
+    targets, (rows, total) = mixing.source_targets(sized), mixing.size_of(sized)
+    slots = mixing.drawn_slots(targets, total).collect()
+    times, shards = Counter((r["source"], r["block"]) for r in slots), defaultdict(set)
+    for r in slots:
+        shards[r["source"], r["block"]].add(r["out_shard"])
+    assert len({(r["source"], r["epoch"], r["block"]) for r in slots}) == len(slots)  # an epoch is a permutation
+    counts = mixing.drawn_counts(targets, total).collect()
+    assert Counter((r["source"], r["out_shard"]) for r in slots) == Counter({(r["source"], r["out_shard"]): r["count"] for r in counts})
+    for t in targets.collect():
+        own = [r["count"] for r in counts if r["source"] == t["source"]]
+        n = -(-t["source_size"] // mixing.BLOCK)
+        assert sum(own) == round(t["target"] * n / t["source_size"])
+        mean = sum(own) / mixing.SHARDS  # chi-square of a multinomial draw with 15 degrees of freedom
+        chi = sum((c - mean) ** 2 / mean for c in own) + (mixing.SHARDS - len(own)) * mean
+        assert 1 < chi < 60, chi
+    want = Counter()
+    for r in mixing.with_starts(sized.where("size > 0"), rows).collect():
+        places = range(r["start"], r["start"] + r["size"])
+        blocks = {(r["source"], p // mixing.BLOCK) for p in places}
+        own = sum(times[r["source"], p // mixing.BLOCK] for p in places)
+        want[r["doc_id"], r["size"], own, ",".join(map(str, sorted(set().union(*(shards[b] for b in blocks)))))] += 1
+    assert multiset((r["doc_id"], r["size"], r["taken"], r["out_shards"]) for r in mixing.mix_taken(real).collect() if r["size"]) == want
+    split = Counter()
+    for r in mixing.mixed_documents(real, by_shard=True).collect():
+        split[r["out_shard"]] += len(r["text"].encode().split())
+    whole = sum(r["taken"] for r in mixing.mix_taken(real).collect())
+    assert sum(split.values()) == whole and len(split) == mixing.SHARDS
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         x = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long")).alias("x")).toPandas()["x"]
