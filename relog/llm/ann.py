@@ -14,12 +14,12 @@ from pyspark.sql import Window as W
 from .common import checkpoint
 
 CURVES, DIMS, BITS = 3, 4, 10
-#: Rows of a block on a curve, and the query blocks that meet a data block in one task.
-BLOCK, TOGETHER = 4096, 32
-#: Share of a curve that a query's window covers at least, and rows that it covers at least. Isotropic
-#: vectors have no near neighbours on any curve, so recall of 0.9 takes a constant share of the rows.
-SHARE, LEAST = 0.55, 8192
-COARSE = 12
+#: Bounds of the rows in a block of a curve, and the query blocks that meet a data block in one task.
+BLOCKS, TOGETHER = (256, 4096), 32
+#: The window is the smallest that holds this share of the true neighbours of SAMPLE queries on some curve.
+#: Vectors in clusters take narrow windows; isotropic ones have no near neighbours on any curve and take a
+#: constant share of the rows.
+TARGET, SAMPLE = 0.95, 64
 K = 20
 
 
@@ -80,14 +80,41 @@ def curve_keys(vectors: DataFrame, dim: int, most: float, mean_square: float) ->
     return vectors.select("rep", "vector").mapInArrow(run, "rep long, curve int, key long")
 
 
-def with_blocks(keys: DataFrame) -> DataFrame:
-    """Adds the block of each row on its curve. Ranks come from the sums of coarse key ranges and a
-    window inside each range, so no task sorts a whole curve."""
-    keys = keys.withColumn("coarse", F.shiftright("key", DIMS * BITS - COARSE))
-    before = W.partitionBy("curve").orderBy("coarse").rowsBetween(W.unboundedPreceding, -1)
-    offsets = keys.groupBy("curve", "coarse").agg(F.count("*").alias("n")).select("curve", "coarse", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    rank = F.col("offset") + F.row_number().over(W.partitionBy("curve", "coarse").orderBy("key", "rep")) - 1
-    return keys.join(offsets, ["curve", "coarse"]).select("rep", "curve", F.floor(rank / BLOCK).cast("int").alias("block"))
+def with_ranks(keys: DataFrame, n: int) -> DataFrame:
+    """rep, curve, rank: the place of each of n rows on each curve. Rows are sorted by ranges of (curve, key,
+    rep), so equal keys don't gather in one task, and a row's place is its place in its range after the rows
+    of all ranges before."""
+    ordered = checkpoint(keys.repartitionByRange("curve", "key", "rep").sortWithinPartitions("curve", "key", "rep"))
+    placed = ordered.withColumn("id", F.monotonically_increasing_id()).select("rep", "curve", F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    offsets = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return checkpoint(placed.join(F.broadcast(offsets), "part").select("rep", "curve", (F.col("offset") + F.col("at") - F.col("curve") * F.lit(n)).alias("rank")))
+
+
+def half_window(reps: DataFrame, ranks: DataFrame, k: int, target: float) -> int:
+    """How far apart on its nearest curve a query and its neighbour are, for the share `target` of the k true
+    neighbours of SAMPLE queries (those of the smallest hashes): these are searched in all rows, block by block."""
+    chosen = reps.where(F.col("asks") == 1).orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(SAMPLE).select("rep", "vector").collect()
+    if not chosen:
+        return 0
+    ids, x = np.array([r["rep"] for r in chosen]), np.array([r["vector"] for r in chosen])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rep = batch.column("rep").to_numpy()
+                score = x @ np.array(batch.column("vector").flatten(), dtype=np.float64).reshape(len(rep), -1).T
+                score[ids[:, None] == rep[None, :]] = -np.inf
+                top = np.argsort(-score, axis=1)[:, :k]
+                q = np.repeat(ids, top.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(rep[top.ravel()]), pa.array(np.take_along_axis(score, top, axis=1).ravel())], names=["query", "rep", "score"])
+
+    found = reps.select("rep", "vector").mapInArrow(run, "query long, rep long, score double").where("query != rep")
+    top = found.withColumn("at", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("at") <= k)
+    asked = ranks.join(F.broadcast(reps.sparkSession.createDataFrame([(int(i),) for i in ids], "rep long")), "rep").select(F.col("rep").alias("query"), "curve", F.col("rank").alias("own"))
+    gaps = ranks.join(F.broadcast(top), "rep").join(F.broadcast(asked), ["query", "curve"]).groupBy("query", "rep").agg(F.min(F.abs(F.col("rank") - F.col("own"))).alias("gap"))
+    got = [r["gap"] for r in gaps.collect()]  # SAMPLE x k rows
+    return int(np.quantile(got, target, method="higher")) if got else 0
 
 
 def best(group: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -112,14 +139,15 @@ def best(group: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["query", "ids", "leasts", "scores"])
 
 
-def neighbours(vectors: DataFrame, k: int = K, every: int = 20, share: float = SHARE) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = K, every: int = 20, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of vectors (vec_id, embedding) for each row
     whose vec_id is divisible by `every`, ties to the smaller vec_id.
 
     Equal vectors are searched once (a hot vector is one row) and stand for their k + 1 smallest ids,
-    which are all that a result can hold; of equally near ones those of smaller ids stay. Each curve is cut into blocks of BLOCK rows; a query meets the
-    blocks of its window, and candidates of all curves merge. With few rows the window is the whole
-    curve and results are exact.
+    which are all that a result can hold; of equally near ones those of smaller ids stay. How far a query's
+    window reaches on every curve is measured on a sample of queries (half_window). Each curve is cut into
+    blocks of half a reach; a query meets the blocks that its window touches, and candidates of all curves
+    merge: k + 1 of a block travel, and the best of these stay for each query.
 
     Vectors that are null, zero, of another length than most, or with null or non-finite components
     take no part, nor do null ids. A repeated id counts once for each different vector; an id is never
@@ -133,18 +161,20 @@ def neighbours(vectors: DataFrame, k: int = K, every: int = 20, share: float = S
     members = ids.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
     reps = checkpoint(good.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.first("vector").alias("vector"), F.max((F.col("vec_id") % every == 0).cast("int")).alias("asks")).join(members, ["h1", "h2"]).withColumn("rep", F.xxhash64("h1", "h2")))
     n, most, square = reps.agg(F.count("*"), F.max(norm := F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), F.avg(norm)).first()
-    placed = with_blocks(curve_keys(reps, dim, float(np.sqrt(most or 1.0)), float(square or 1.0))).join(reps.select("rep", "least", "vector", "asks"), "rep")
-    blocks = max(1, -(-n // BLOCK))
-    side = min(blocks, int(np.ceil(max(share * n, LEAST) / BLOCK / 2)))
-    low = F.greatest(F.least(F.col("block") - side, F.lit(blocks - 1 - 2 * side)), F.lit(0))
-    asks = placed.where(F.col("asks") == 1).select("curve", F.floor(F.col("block") / TOGETHER).alias("team"), F.explode(F.sequence(low, F.least(low + 2 * side, F.lit(blocks - 1)))).alias("block"), F.lit(1).alias("role"), "rep", "least", "vector")
-    reach = F.sequence(F.floor(F.greatest(F.col("block") - 2 * side, F.lit(0)) / TOGETHER), F.floor(F.least(F.col("block") + 2 * side, F.lit(blocks - 1)) / TOGETHER))
-    data = placed.select("curve", F.explode(reach).alias("team"), "block", F.lit(0).alias("role"), "rep", "least", "vector")
+    ranks = with_ranks(curve_keys(reps, dim, float(np.sqrt(most or 1.0)), float(square or 1.0)), n)
+    reach = half_window(reps, ranks, k, target)
+    block = min(max(-(-reach // 2), BLOCKS[0]), BLOCKS[1])
+    blocks, side = max(1, -(-n // block)), -(-reach // block)
+    placed = ranks.select("rep", "curve", F.floor(F.col("rank") / block).cast("int").alias("block")).join(reps.select("rep", "least", "vector", "asks"), "rep")
+    low, high = F.greatest(F.col("block") - side, F.lit(0)), F.least(F.col("block") + side, F.lit(blocks - 1))
+    # queries of TOGETHER blocks form a team, so that a group holds a block of data and a bounded number of queries
+    asks = placed.where(F.col("asks") == 1).select("curve", F.floor(F.col("block") / TOGETHER).alias("team"), F.explode(F.sequence(low, high)).alias("block"), F.lit(1).alias("role"), "rep", "least", "vector")
+    data = placed.select("curve", F.explode(F.sequence(F.floor(low / TOGETHER), F.floor(high / TOGETHER))).alias("team"), "block", F.lit(0).alias("role"), "rep", "least", "vector")
     found = data.unionByName(asks).groupBy("curve", "team", "block").applyInPandas(lambda g: best(g, k), "query long, ids array<long>, leasts array<long>, scores array<double>")
-    # k + 1 candidates of each block: as structs that sort by falling score and least id, once for each vector
-    near = F.transform(F.arrays_zip("scores", "leasts", "ids"), lambda x: F.struct((-x["scores"]).alias("far"), x["leasts"].alias("least"), x["ids"].alias("rep")))
-    merged = found.groupBy("query").agg(F.flatten(F.collect_list(near)).alias("all"))
-    top = merged.select("query", F.explode(F.slice(F.array_sort(F.array_distinct("all")), 1, 2 * k + 2)).alias("c")).select("query", "c.rep", "c.far")
+    each = found.select("query", F.explode(F.arrays_zip("ids", "leasts", "scores")).alias("x")).select("query", F.col("x.ids").alias("rep"), F.col("x.leasts").alias("least"), (-F.col("x.scores")).alias("far"))
+    # the best of a query's distinct candidates: a vector met on all curves counts CURVES times at first
+    some = each.withColumn("at", F.row_number().over(W.partitionBy("query").orderBy("far", "least", "rep"))).where(F.col("at") <= CURVES * (2 * k + 2)).drop("at").distinct()
+    top = some.withColumn("at", F.row_number().over(W.partitionBy("query").orderBy("far", "least", "rep"))).where(F.col("at") <= 2 * k + 2).select("query", "rep", "far")
     owned = top.groupBy("query", "rep").agg(F.min("far").alias("far")).join(reps.select("rep", "members"), "rep")
     ranked = owned.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("members", lambda m: F.struct(F.col("far"), m.alias("vec_id")))))), 1, k + 1 + k).alias("near"))
     queries = good.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64("h1", "h2").alias("query")).distinct()

@@ -169,23 +169,33 @@ def test_neighbours(spark):
     assert hits / (20 * len(asked)) > 0.99  # ties may round either way
 
 
-def test_neighbours_recall_in_windows(spark, monkeypatch):
-    """Many blocks, so that windows leave most blocks out; recall against brute force stays over 0.9."""
-    monkeypatch.setattr(ann, "BLOCK", 64)
-    monkeypatch.setattr(ann, "LEAST", 256)
+@pytest.mark.parametrize(("n", "spread"), [(1500, 0.4), (6000, 0.4), (4000, None)])
+def test_neighbours_recall_in_windows(spark, monkeypatch, n, spread):
+    """Recall against brute force is over 0.9 on clusters and on isotropic vectors; windows in clusters are narrow."""
     rng = np.random.default_rng(3)
-    centres = rng.normal(size=(40, 64))
-    x = (centres[rng.integers(0, 40, 4000)] + 0.4 * rng.normal(size=(4000, 64))).astype(np.float32)
-    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    centres = rng.normal(size=(40, 32))
+    x = rng.normal(size=(n, 32)) if spread is None else centres[rng.integers(0, 40, n)] + spread * rng.normal(size=(n, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    reach, measured = [], ann.half_window
+    monkeypatch.setattr(ann, "half_window", lambda *a: reach.append(measured(*a)) or reach[-1])
+    table = spark.createDataFrame([(i, v.tolist(), "x", 0, 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, rep string, rank int, curve int")
     got = defaultdict(set)
     for r in ann.neighbours(table).collect():
         got[r["query_id"]].add(r["vec_id"])
     hits = 0
-    for q in range(0, 4000, 20):
+    for q in range(0, n, 20):
         s = x.astype(np.float64) @ x[q].astype(np.float64)
         s[q] = -np.inf
         hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
-    assert hits / (20 * 200) >= 0.9, hits / 4000
+    assert hits / (20 * len(got)) >= 0.9, hits / (20 * len(got))
+    assert spread is None or reach[0] < n / 4, reach
+
+
+def test_neighbours_of_awkward_rows(spark):
+    """Infinite components take no part; repeated ids count once for each different vector; few rows."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [float("inf"), 0.0]), (2, [2.0, 2.0]), (3, [-1.0, 0.0])]
+    got = multiset(ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).select("query_id", "vec_id", "score").collect())
+    assert got == multiset([(0, 2, 2.0), (0, 3, 0.0), (0, 2, 2.0), (0, 3, -1.0)])
 
 
 def test_hilbert_neighbours_touch():
@@ -455,12 +465,12 @@ def test_awkward_rows_pass(f, odd):
 
 
 def test_neighbours_ties_go_to_smaller_ids(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "BLOCKS", (64, 64))
     rng = np.random.default_rng(9)
     x = rng.integers(-1, 2, (900, 6)).astype(np.float32) + np.array([0, 0, 0, 0, 0, 3], np.float32)
     rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(900), x, strict=True)]
     got = defaultdict(list)
-    for r in ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+    for r in ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), target=1.0).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     held = dict(rows)
     for q in range(0, 900, 20):
