@@ -9,24 +9,26 @@ from pyspark.sql import Window as W
 
 from .common import buckets_for, checkpoint, n_words, text_key, text_of
 
-#: Small groups travel in bundles: so many hash bundles for each class of text length.
+#: Groups under ALONE travel in bundles: so many hash bundles for each class of text length, which bounds
+#: the items that the packer sees. A bundle holds about 1/4096 of all rows, as much as such a group can.
 BUNDLES = 1024
 #: A group above this share of any dimension is an item of its own.
 ALONE = 1 / 4096
-#: A group above this share of any dimension is split into pieces of about that share.
-SPLIT = 1 / 256
+#: Only a group that no shard can hold is split: into so many pieces for each shard that it would fill.
+PIECES = 4
+#: Weights of bytes, tokens and rows in the dot product; bytes weigh most, as the law is near equal bytes.
+WEIGHTS = (4.0, 1.0, 1.0)
 
 
 def place(sizes: np.ndarray, n_shards: int) -> np.ndarray:
     """Greedy vector bin packing: items in order of falling largest share, each to the shard where the
     dot product of item and residual capacity is highest among the shards that it fits in (or among
-    all shards, where it fits in none). sizes: items x dimensions; returns the shard of each item.
-
-    Bytes weigh most, as the query's law is near equal bytes."""
+    all shards, where it fits in none); of equal ones to the first. sizes: items x dimensions; returns
+    the shard of each item."""
     total = sizes.sum(axis=0)
     share = sizes / np.where(total > 0, total, 1)
     left = np.full((n_shards, share.shape[1]), 1.0 / n_shards)
-    weight = np.array([4.0] + [1.0] * (share.shape[1] - 1))
+    weight = np.array(WEIGHTS[: share.shape[1]])
     out = np.zeros(len(share), dtype=np.int64)
     for i in np.lexsort((np.arange(len(share)), -share.max(axis=1))):
         score = left @ (share[i] * weight)
@@ -42,11 +44,11 @@ def pack_shards(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     """Deal documents (doc_id, text) into n_shards shards whose bytes are near equal, and whose tokens
     and rows are balanced along with them.
 
-    Groups are equal texts and stay together, unless a group is so large that a shard could not be
-    balanced around it (over SPLIT of all bytes, tokens or rows): such a group is split by a hash of
-    doc_id. Groups under ALONE are packed in bundles chosen by a hash of the text, so the packer sees a
-    bounded number of items (4 x BUNDLES + 3/ALONE + 6/SPLIT) however many documents there are; only
-    these sums reach the driver. Slots number the rows of a shard from 0 without gaps.
+    Groups are equal texts and stay together, unless no shard can hold a group (over 1/n_shards of all
+    bytes, tokens or rows): such a group is split by a hash of doc_id. Groups under ALONE are packed in
+    bundles chosen by a hash of the text, so the packer sees a bounded number of items (4 x BUNDLES +
+    3/ALONE + 3 x PIECES x n_shards) however many documents there are; only these sums reach the driver.
+    Slots number the rows of a shard from 0 without gaps.
 
     Null text: size 1, the same group as the empty text. Null or repeated ids and repeated rows are
     kept, each with a slot of its own. An empty table gives an empty result.
@@ -59,7 +61,7 @@ def pack_shards(docs: DataFrame, n_shards: int = 16) -> DataFrame:
 
     groups = base.groupBy("k1", "k2", "k3").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r"))
     share = F.greatest(*[F.col(c) / F.lit(n) for c, n in zip("btr", total, strict=True)])
-    heavy = groups.where(share > ALONE).select("k1", "k2", "k3", F.ceil(share / SPLIT).cast("int").alias("pieces"))
+    heavy = groups.where(share > ALONE).select("k1", "k2", "k3", F.when(share > 1 / n_shards, F.ceil(share * n_shards * PIECES)).otherwise(1).cast("int").alias("pieces"))
     # at most 3/ALONE rows: the shares of a dimension sum to 1
     base = base.join(F.broadcast(heavy), ["k1", "k2", "k3"], "left")
     mean = total[0] / total[2]
