@@ -18,6 +18,7 @@ from .common import checkpoint
 #: A payload is cut into tiles of 24 x 24 samples of 8 bits.
 SIDE = 24
 TILE = SIDE * SIDE
+PNG = b"\x89PNG\r\n\x1a\n"
 #: Digests that a task remembers.
 SEEN = 1_000_000
 ITEM = "struct<position:int,kind:string,text:string,media:string,caption:string>"
@@ -111,18 +112,36 @@ def resolved(sequences: DataFrame, payloads: DataFrame, key: str) -> DataFrame:
     return refs.select(key, "item.position", F.regexp_replace("item.media", "^sha256:", "").alias("digest"), "item.caption").join(payloads, "digest", "left")
 
 
+def png_chunk(kind: bytes, data: bytes) -> bytes:
+    return len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+
+
 def store(payload: bytes) -> bytes:
-    """The payload as a grey image, 24 samples wide, 8 bits a sample (PGM: header, then the samples)."""
-    return b"P5\n%d %d\n255\n" % (SIDE, len(payload) // SIDE) + payload
+    """The payload as a grey PNG image, SIDE samples wide, 8 bits a sample, rows without filters."""
+    rows = np.zeros((len(payload) // SIDE, SIDE + 1), np.uint8)
+    rows[:, 1:] = np.frombuffer(payload, np.uint8).reshape(-1, SIDE)
+    head = SIDE.to_bytes(4, "big") + len(rows).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+    return PNG + png_chunk(b"IHDR", head) + png_chunk(b"IDAT", zlib.compress(rows.tobytes(), 1)) + png_chunk(b"IEND", b"")
 
 
 def load(media: bytes) -> bytes:
-    """The samples of a stored image."""
-    magic, size, depth, samples = media.split(b"\n", 3)
-    width, height = map(int, size.split())
-    if magic != b"P5" or depth != b"255" or len(samples) != width * height:
+    """The samples of a stored image; checks every chunk's checksum."""
+    if media[:8] != PNG:
+        raise ValueError("not a PNG image")
+    parts, at = {}, 8
+    while at < len(media):
+        size = int.from_bytes(media[at : at + 4], "big")
+        kind, data = media[at + 4 : at + 8], media[at + 8 : at + 8 + size]
+        if zlib.crc32(kind + data) != int.from_bytes(media[at + 8 + size : at + 12 + size], "big"):
+            raise ValueError("damaged image")
+        parts[kind] = parts.get(kind, b"") + data
+        at += 12 + size
+    head = parts[b"IHDR"]
+    width, height = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
+    rows = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(height, width + 1)
+    if head[8:] != bytes([8, 0, 0, 0, 0]) or rows[:, 0].any():
         raise ValueError("not an image of this kind")
-    return samples
+    return rows[:, 1:].tobytes()
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -181,16 +200,24 @@ def described(stored: DataFrame) -> DataFrame:
     return checkpoint(stored.mapInArrow(read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").distinct())
 
 
+def page(text: str, n: int, digest: str) -> str:
+    """A document as HTML: the first half of its lines as a paragraph, its image with a caption, the rest."""
+    lines = text.split("\n")
+    half = (len(lines) + 1) // 2
+    before, after = (escape("\n".join(x), quote=False) for x in (lines[:half], lines[half:]))
+    return f'<article><p>{before}</p><figure><img src="sha256:{digest}"><figcaption>{n} bytes of text</figcaption></figure><p>{after}</p></article>'
+
+
 def document_media(docs: DataFrame) -> DataFrame:
-    """Each text of docs (doc_id, text) as the medium of an interleaved document: doc_id, n_bytes,
-    payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; position and caption
-    of the reference follow.
-
-    A document's HTML refers to its stored image by digest. The sequence is parsed from that HTML, and
-    the reference meets what was read back from the image's stored bytes (stored_media) in a join by
-    digest. Only digests and features are shuffled, never payloads. Null texts are
-    empty (one tile of padding); null or repeated ids and repeated rows are kept; an empty table gives an
-    empty result."""
+    """Each text of docs (doc_id, text) as an interleaved document with its stored image: doc_id, n_bytes,
+    payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; position and caption of
+    the image's reference and n_items of the sequence follow.
+
+    A document's HTML holds its text and, in between, refers to its stored image by digest. The sequence of
+    text runs and references is parsed from that HTML, and each reference meets what was read back from the
+    image's stored bytes (stored_media) in a join by digest. Only digests and features are shuffled, never
+    payloads. A text without words gives no text items. Null texts are empty (one tile of padding); null or
+    repeated ids and repeated rows are kept; an empty table gives an empty result."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,9 +225,9 @@ def document_media(docs: DataFrame) -> DataFrame:
             rows = []
             for t in batch.column("text"):
                 n, payload = padded(t.as_py())
-                digest = hashlib.sha256(store(payload)).hexdigest()
-                rows.append((n, f'<article><figure><img src="sha256:{digest}"><figcaption>{escape(f"{n} bytes of text")}</figcaption></figure></article>'))
+                rows.append((n, page(t.as_py() or "", n, hashlib.sha256(store(payload)).hexdigest())))
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64())], names=["doc_id", "n_bytes"]), pa.array([r[1] for r in rows], pa.string())], names=["k", "html"])
 
     sequences = interleaved(texts.mapInArrow(pages, "k struct<doc_id:bigint,n_bytes:bigint>, html string"), "k", "html")
-    return resolved(sequences, described(stored_media(texts)), "k").select("k.doc_id", "k.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    sized = sequences.select(F.struct("k.doc_id", "k.n_bytes", F.size("items").alias("n_items")).alias("k"), "items")
+    return resolved(sized, described(stored_media(texts)), "k").select("k.doc_id", "k.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "k.n_items")
