@@ -9,60 +9,64 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import crc_mod
+from .common import checkpoint, crc_mod, n_words, text_of
 
 #: Words in a passage.
 PASSAGE = 64
-#: Bound of the labelled training sample: the rows with the smallest hashes of doc_id.
-TRAIN_ROWS = 6000
-HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, DECAY = 32, 16, 40, 256, 0.01, 1e-4
+#: Bounds of the labelled training sample: the documents with the smallest hashes of doc_id, so many and
+#: with so many passages together.
+TRAIN_ROWS, TRAIN_PASSAGES = 6000, 40_000
+#: Kinds of byte trigrams, of words and of pairs of words that the encoder tells apart, by hash.
+GRAMS, WORDS, PAIRS = 512, 256, 256
+FEATURES = GRAMS + WORDS + PAIRS + 3
+HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, DECAY = 32, 16, 25, 256, 0.01, 1e-3
 CUT = 0.3
 FOLDS, HELD_OUT = 5, 0
-
-#: Classes of bytes, as a table from byte to class.
-_CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!", "|", "#$%&*", "<>{}[]()/\\=_@+~^", ".,;:?'\"-"]
-KINDS = len(_CLASSES) + 3  # others: bytes from 128 on, white space, the rest
-TABLE = np.full(256, KINDS - 1, np.int64)
-TABLE[128:] = KINDS - 3
-for _c in b" \t\n\x0b\x0c\r":
-    TABLE[_c] = KINDS - 2
-for _i, _s in enumerate(_CLASSES):
-    for _c in _s.encode():
-        TABLE[_c] = _i
-FEATURES = KINDS + 6
+#: White space of ASCII.
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
 _MIX = np.random.default_rng(7).integers(1, 2**63, 256).astype(np.uint64) | np.uint64(1)
 
 
+def _bucket(h: np.ndarray, kinds: int) -> np.ndarray:
+    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % kinds
+
+
 def encode_passages(text: str) -> np.ndarray:
-    """Features of every passage of a text, passages x FEATURES: shares of byte classes, word length,
-    distinct and repeated words, capital words, fill of the passage. A text without words is one
-    passage of zeros."""
+    """Hashed n-grams of every passage of a text, passages x FEATURES: roots of the shares that kinds of byte
+    trigrams, of words and of pairs of words have of the passage, then its length and the shares of different
+    words and of words that repeat the one before. What they mean is learned. Roots let a weighted sum tell
+    a passage of many kinds from one of few. A text without words is one passage of zeros."""
     b = np.frombuffer(text.encode(), np.uint8)
-    kind = TABLE[b]
-    solid = kind != KINDS - 2
-    starts = np.flatnonzero(solid & np.concatenate([[True], ~solid[:-1]])) if len(b) else np.zeros(0, np.int64)
-    n = len(starts)
-    if not n:
+    solid = ~SPACES[b]
+    begins = solid & np.concatenate([[True], ~solid[:-1]]) if len(b) else solid
+    starts = np.flatnonzero(begins)
+    if not len(starts):
         return np.zeros((1, FEATURES), np.float32)
     first = starts[::PASSAGE]
     p = len(first)
     sizes = np.diff(np.concatenate([[0], first[1:], [len(b)]]))
-    counts = np.bincount(np.repeat(np.arange(p), sizes) * KINDS + kind, minlength=p * KINDS).reshape(p, KINDS)
-    word = np.maximum(np.cumsum(solid & np.concatenate([[True], ~solid[:-1]])) - 1, 0)
+    gram = np.zeros(len(b), np.uint64)
+    for back in range(3):
+        gram[back:] += _MIX[b[: len(b) - back]] * np.uint64(2 * back + 1)
+    counts = np.bincount(np.repeat(np.arange(p) * GRAMS, sizes) + _bucket(gram, GRAMS), minlength=p * GRAMS).reshape(p, GRAMS)
+    word = np.maximum(np.cumsum(begins) - 1, 0)
     place = (np.arange(len(b)) - starts[word]).astype(np.uint64)
     hashes = np.add.reduceat(np.where(solid, _MIX[b] * (place * np.uint64(2) + np.uint64(1)), 0), starts)
-    lengths = np.add.reduceat(solid.astype(np.int64), starts)
-    capital = (TABLE[b[starts]] == 1) & (np.add.reduceat((kind == 1).astype(np.int64), starts) * 2 > lengths)
-    held = np.diff(np.concatenate([np.arange(0, n, PASSAGE), [n]]))
-    grid = np.full(p * PASSAGE, np.iinfo(np.uint64).max, np.uint64)
-    grid[:n] = hashes
-    grid = np.sort(grid.reshape(p, PASSAGE), axis=1)
-    distinct = 1 + (grid[:, 1:] != grid[:, :-1]).sum(axis=1) - (held < PASSAGE)
-    at = np.arange(0, n, PASSAGE)
-    again = np.add.reduceat(np.concatenate([[0], hashes[1:] == hashes[:-1]]).astype(np.int64), at)
-    extra = [np.add.reduceat(lengths, at) / held / 10, distinct / held, again / held, np.add.reduceat(capital.astype(np.int64), at) / held, held / PASSAGE, np.log1p(held) / 5]
-    return np.column_stack([counts / np.maximum(sizes, 1)[:, None], *extra]).astype(np.float32)
+    own = np.arange(len(hashes)) // PASSAGE
+    words = np.bincount(own * WORDS + _bucket(hashes, WORDS), minlength=p * WORDS).reshape(p, WORDS)
+    two = hashes + np.concatenate([hashes[:1], hashes[:-1]]) * np.uint64(3)
+    pairs = np.bincount(own * PAIRS + _bucket(two, PAIRS), minlength=p * PAIRS).reshape(p, PAIRS)
+    shares = [x / np.maximum(x.sum(axis=1, keepdims=True), 1) for x in (counts, words, pairs)]
+    at = np.arange(0, len(hashes), PASSAGE)
+    held = np.diff(np.append(at, len(hashes)))
+    by = np.lexsort((hashes, own))
+    fresh = np.concatenate([[True], (hashes[by][1:] != hashes[by][:-1]) | (own[1:] != own[:-1])])
+    again = np.concatenate([[False], (hashes[1:] == hashes[:-1]) & (own[1:] == own[:-1])])
+    shape = [np.log1p(held) / 4, np.add.reduceat(fresh, at, dtype=np.int64) / held, np.add.reduceat(again, at, dtype=np.int64) / held]
+    return np.column_stack([np.sqrt(np.concatenate(shares, axis=1)), *shape]).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -125,20 +129,25 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> AttentionM
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> AttentionModel:
-    """Learn from at most `rows` labelled documents outside the held-out fold; a document's label is the
-    smallest it has. Only their passage features reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, passages: int = TRAIN_PASSAGES) -> AttentionModel:
+    """Learn from labelled documents outside the held-out fold: at most `rows`, the smallest hashes of doc_id
+    first, as long as their texts have at most `passages` passages together. A document's label is the
+    smallest it has, and of several texts of one doc_id the one of the smallest hash counts. Only the passage
+    features of these reach the driver."""
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).where(crc_mod("doc_id", FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = chosen.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    text = F.col("text").cast("string")
+    held = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    before = F.sum(F.floor(n_words(text_of()) / PASSAGE) + 1).over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over `rows` rows
+    sample = checkpoint(held).withColumn("upto", before).where(F.col("upto") <= passages).select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [encode_passages(t.as_py() or "").ravel() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([x.tobytes() for x in bags], pa.binary())], names=["doc_id", "quality", "bag"])
+            bags = [encode_passages(t.as_py() or "").astype(np.float16).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(bags, pa.binary())], names=["doc_id", "quality", "bag"])
 
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text")
-    got = sample.mapInArrow(run, "doc_id long, quality double, bag binary").toArrow().sort_by([("doc_id", "ascending"), ("bag", "ascending")])
-    bags = [np.frombuffer(x.as_py(), np.float32).reshape(-1, FEATURES) for x in got.column("bag")]
+    got = sample.repartition(16, "doc_id").mapInArrow(run, "doc_id long, quality double, bag binary").toArrow().sort_by([("doc_id", "ascending")])
+    bags = [np.frombuffer(x.as_py(), np.float16).astype(np.float32).reshape(-1, FEATURES) for x in got.column("bag")]
     return fit(bags, np.array(got.column("quality").to_pylist(), dtype=np.float64))
 
 

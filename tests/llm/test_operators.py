@@ -159,6 +159,31 @@ def test_quality_reads_the_text_alone(odd, labels):
     assert len({r["score"] for r in quality.score_documents(odd.where("text is null or trim(text) = ''"), labels).collect()}) == 1
 
 
+def test_quality_of_awkward_rows(spark, labels):
+    """A trained model on nulls, empty, long and repeated texts; conflicting and repeated labels; repeated ids
+    of different texts; and equal scores for equal texts."""
+    good, bad = "calm words that say something new about the river and its towns ", "buy buy buy buy "
+    rows = [(i, (good if i % 2 else bad) * (1 + i % 5) + (f"number {i}" if i % 2 else ""), "x", 9) for i in range(400)]
+    rows += [(1000, None, "x", 9), (1001, "", "x", 9), (1002, good * 5000, "x", 9), (1002, good * 5000, "x", 9), (None, bad, "x", 9), (7, bad, "x", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality string, score int")
+    own = [(i, i % 2) for i in range(400)] + [(3, 0), (3, 1), (5, 1), (5, 1), (None, 1), (9, None), (11, 7)]
+    got = quality.score_documents(docs, spark.createDataFrame(own, "doc_id long, quality int")).collect()
+    assert multiset((r["doc_id"],) for r in got) == multiset((r[0],) for r in rows)
+    score = defaultdict(set)
+    for r in got:
+        score[r["doc_id"]].add(round(r["score"], 12))
+    assert len(score[1002]) == 1 and score[1000] == score[1001] and len(score[7]) == 2
+    assert min(score[2]) < 0.3 < min(score[1]) and min(score[None]) < 0.3 < min(score[1002])
+    few = quality.train(docs, spark.createDataFrame(own, "doc_id long, quality int"), rows=50, passages=60)
+    assert set(few.w) == {"e", "eb", "v", "u", "a", "c", "cb"}
+
+
+def test_good_documents_of_awkward_rows(odd, labels):
+    kept, scored = quality.good_documents(odd, labels), quality.score_documents(odd, labels)
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert multiset(kept.select("doc_id").collect()) == multiset(scored.where("predicted = 1").select("doc_id").collect())
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(n, quality.FEATURES)) for n in (1, 3, 5)]
