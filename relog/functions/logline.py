@@ -52,9 +52,12 @@ def column_changes(parts: Column) -> Column:
     return F.when(n.isNotNull(), F.transform(F.sequence(F.lit(0), n - 1), triple)).otherwise(F.array().cast(f"array<{COL_TYPE}>"))
 
 
-def key_of(cols: Column, side: str) -> Column:
-    """Old or new value of the key column, as a number up to 2^64-1."""
-    return F.get(F.filter(cols, lambda c: c["is_pk"]), 0)[side].try_cast(KEY_TYPE)
+def key_of(parts: Column, side: str) -> Column:
+    """Old or new value of the key column, as a number up to 2^64-1. The key mostly is the first column, so
+    it is read from the fields; all columns are only built for lines where it is another one."""
+    first = (F.get(F.split(F.get(parts, F.lit(HEADER)), ":", -1), F.lit(2)) == "1") & n_columns(parts).isNotNull()
+    own = decoded(F.get(parts, F.lit(HEADER + (1 if side == "old" else 2))))
+    return F.when(first, own).otherwise(F.get(F.filter(column_changes(parts), lambda c: c["is_pk"]), 0)[side]).try_cast(KEY_TYPE)
 
 
 def triple_text(name: str, kind: int, is_key: bool, old: Column, new: Column) -> Column:

@@ -54,7 +54,8 @@ def key_list_query(changes: DataFrame, db: str, tbl: str, keys: DataFrame) -> Da
 
 def history(changes: DataFrame, pk: int) -> DataFrame:
     """All events of a key, newest first."""
-    return key_events(changes).where(F.col("pk") == key(pk)).orderBy(F.col("seq").desc())
+    of_key = changes.where((F.col("old_pk") == key(pk)) | (F.col("new_pk") == key(pk)))  # before lines are taken apart
+    return key_events(of_key).where(F.col("pk") == key(pk)).orderBy(F.col("seq").desc())
 
 
 def as_of(changes: DataFrame, upto: Column) -> DataFrame:
@@ -62,6 +63,20 @@ def as_of(changes: DataFrame, upto: Column) -> DataFrame:
     return changes.where(F.col("seq") <= upto)
 
 
+def as_of_join(states: DataFrame, asked: DataFrame, keys: tuple[str, ...] = ("db", "tbl", "pk")) -> DataFrame:
+    """For each row of asked (keys, seq) the newest of states (keys, seq, other columns) of that key strictly before
+    seq: keys, seq, state (a struct of the other columns; null where there is none).
+
+    Both are put in one order and the last state is carried on in blocks (running), so a hot key is many tasks."""
+    state = F.struct(*[F.col(c) for c in states.columns if c not in keys])
+    # at equal places a question comes before the states
+    place = lambda last: F.struct("seq.file_no", "seq.block_start", (F.col("seq.rid") * 2 + last).alias("rid"))
+    told = states.select(*keys, place(1).alias("seq"), state.alias("_state"))
+    both = told.unionByName(asked.select(*keys, place(0).alias("seq"), F.col("seq").alias("_asked")), allowMissingColumns=True)
+    found = running(both, lasts={"state": F.col("_state")}, keys=keys).where("_asked is not null")
+    return found.select(*keys, F.col("_asked").alias("seq"), "state")
+
+
 def previous_events(changes: DataFrame) -> DataFrame:
     """Events with the seq of the event before of the same key, null for the first."""
     return running(key_events(changes), lasts={"prev_seq": F.col("seq")})

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -16,14 +16,23 @@ KEYS = ("db", "tbl", "pk")
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the session's spark.checkpoint.dir (a folder of our own only
-    where none is set): ids that depend on how the log was split are never made twice."""
+    """Cut the lineage with a checkpoint in the session's spark.checkpoint.dir: ids that depend on how the log
+    was split are never made twice."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="relog-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; where it is unset, a local session uses a folder of its own and a
+    cluster raises an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="relog-")
+
+
 def running(df: DataFrame, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Adds, for rows with seq (file_no, block_start, rid): each of sums, up to and with the row; each of
     lasts, the last value before the row that isn't null."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from relog.functions import logline as L
 from relog.operators.replay import END, MOD, START, key_events, segments
-from relog.operators.running import running
+from relog.operators.running import reliable, running
 from relog.sources.changelog import TableSchema
 
 
@@ -85,7 +85,8 @@ def incomplete_rows(changes: DataFrame, schema: TableSchema) -> DataFrame:
 
 
 def quality_report(changes: DataFrame, schema: TableSchema) -> DataFrame:
-    """All problems of a table's log: db, tbl, seq, pk, problem."""
+    """All problems of a table's log: db, tbl, seq, pk, problem. Lines are parsed once, into a checkpoint."""
+    changes = reliable(changes)
     return broken_lines(changes).unionByName(misplaced_events(changes)).unionByName(incomplete_rows(changes, schema))
 
 

@@ -4,6 +4,7 @@ The SQL states the results in closed form, so it shares nothing with the replay
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 from relog.functions import logline as L
 from relog.operators import lookup, stats
 from relog.operators.replay import incarnations, key_events, replay, running_state
-from relog.plans.derived import DB, ORDERS, STEP, USERS, both_changes, event_changes, event_lines, order_changes, seq
-from relog.sources.changelog import TableSchema, infer_schema, of_table, schemas
-from relog.streaming.snapshots import as_inserts
+from relog.operators.running import shared_folder
+from relog.plans.derived import DB, ORDERS, STEP, USERS, both_changes, event_changes, event_lines, order_changes, order_lines, seq
+from relog.sources.changelog import TableSchema, infer_schema, lines, of_table, parse, read_changelog, schemas, write_log
+from relog.streaming.snapshots import SnapshotMerge, as_inserts, follow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -303,3 +305,69 @@ def snapshot_merge(spark, sf_dir):
 def schema_of_table(spark, sf_dir):
     schema = infer_schema(event_changes(spark, sf_dir), DB, USERS)
     return spark.range(1).select(F.lit(USERS).alias("tbl"), F.lit(schema.key).alias("key"), F.lit(len(schema.columns)).alias("n_columns"))
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of this run's own that driver and executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/relog-log-{uuid.uuid4()}"
+
+
+@query(f"SELECT {ROW} FROM state")
+def replay_from_files(spark, sf_dir):
+    """The log of two tables written as text files 1.txt, 2.txt, ..., 10.txt, ... and read back: the state
+    is right only if files, splits and lines keep their order."""
+    path = new_folder(spark)
+    write_log(order_lines(spark, sf_dir).unionByName(event_lines(spark, sf_dir)), path)
+    return plain(replay(read_changelog(spark, path), DB, ORDERS, ORDER_SCHEMA))
+
+
+@query(f"SELECT {ROW} FROM state")
+def streaming_merge(spark, sf_dir):
+    """A stream follows the log files, one a batch, and merges each into the table's next snapshot."""
+    path = new_folder(spark)
+    write_log(order_lines(spark, sf_dir).coalesce(3), path)
+    merge = SnapshotMerge(DB, ORDERS, f"{path}-out", ORDER_SCHEMA)
+    stream = follow(spark, path, merge, f"{path}-marks", files_per_batch=1)
+    stream.awaitTermination()
+    return plain(merge.snapshot(spark, stream.lastProgress["batchId"]))
+
+
+@query("SELECT event_id, line FROM el")
+def filtered_lines(spark, sf_dir):
+    """The lines of one table, written as a log of their own and read back."""
+    path, both = new_folder(spark), order_lines(spark, sf_dir).unionByName(event_lines(spark, sf_dir))
+    tbl = F.get(L.fields(F.col("value")), F.lit(3))
+    write_log(both.where(tbl == USERS), path)
+    return lines(spark, path).select(F.get(L.fields(F.col("value")), F.lit(1)).cast("long").alias("event_id"), F.col("value").alias("line"))
+
+
+def broken_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of orders with an unknown operation in every 13th key's update of phase 2, inserts cut off for
+    every 17th key, and a key that is no number in deletes of every 19th."""
+    phase, k, value = F.col("seq.file_no"), F.col("seq.rid"), F.col("value")
+    value = F.when((phase == 2) & (k % 13 == 0), F.replace(value, F.lit("|U|"), F.lit("|Q|"))).when((phase == 1) & (k % 17 == 0), F.regexp_replace(value, r"\|[^|]*\|$", "|")).when((phase == 6) & (k % 19 == 0), F.regexp_replace(value, r"id:1:1\|[0-9]+", "id:1:1|none")).otherwise(value)
+    return order_lines(spark, sf_dir).select(value.alias("value"), "seq")
+
+
+@query("SELECT CAST(phase AS INTEGER) AS phase, k, CASE phase WHEN 1 THEN 'fields' WHEN 2 THEN 'op' ELSE 'key' END AS problem FROM log WHERE (phase = 2 AND k % 13 = 0) OR (phase = 1 AND k % 17 = 0) OR (phase = 6 AND k % 19 = 0)")
+def broken_lines(spark, sf_dir):
+    return stats.broken_lines(parse(broken_log(spark, sf_dir))).select(*placed(), "problem")
+
+
+@query("SELECT k AS pk, CAST(phase AS INTEGER) AS phase, 'incomplete' AS problem FROM log WHERE op = 'I' AND k % 19 = 0")
+def incomplete_rows(spark, sf_dir):
+    """Inserts of every 19th key lack their last column."""
+    k = F.col("seq.rid")
+    value = F.when((k % 19 == 0) & F.col("seq.file_no").isin(1, 7), F.regexp_replace("value", r"cents:1:0\|[^|]*\|[^|]*\|$", "")).otherwise(F.col("value"))
+    changes = parse(order_lines(spark, sf_dir).select(value.alias("value"), "seq"))
+    return plain(stats.incomplete_rows(changes, ORDER_SCHEMA).select("pk", F.col("seq.file_no").alias("phase"), "problem"))
+
+
+@query("SELECT k AS pk, CASE WHEN k % 3 = 0 OR k % 11 = 0 THEN 'MOD' ELSE 'START' END AS kind, CASE WHEN k % 3 = 0 THEN 'P' || (k % 10) ELSE priority END AS priority FROM o WHERE k % 10 = 0 UNION ALL SELECT k + 1, CASE WHEN k = o2 THEN NULL END, NULL FROM (SELECT -max(k) - 2 AS k, 0 AS o2 FROM o)")
+def as_of_join(spark, sf_dir):
+    """The state of every tenth key before phase 4, and of a key that never was."""
+    states = running_state(order_changes(spark, sf_dir), ["priority"]).select("db", "tbl", "pk", "seq", "kind", "priority")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    keys = o.where("o_orderkey % 10 = 0").select("o_orderkey").unionByName(o.select((-F.max("o_orderkey") - 1).alias("o_orderkey")))
+    asked = keys.select(F.lit(DB).alias("db"), F.lit(ORDERS).alias("tbl"), F.col("o_orderkey").cast(L.KEY_TYPE).alias("pk"), seq(4, F.lit(-1)).alias("seq"))
+    return plain(lookup.as_of_join(states, asked).select("pk", "state.kind", "state.priority"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,8 +40,7 @@ def parse(lines_: DataFrame) -> DataFrame:
     over them."""
     parts = lines_.select("seq", L.fields(F.col("value")).alias("parts"))
     part = lambda i: F.get("parts", F.lit(i))
-    changes = parts.select("seq", part(0).alias("binlog_id"), part(1).try_cast("long").alias("ts_ms"), part(2).alias("db"), part(3).alias("tbl"), part(4).alias("op"), L.column_changes(F.col("parts")).alias("cols"), F.size("parts").alias("n_fields"))
-    return changes.withColumns({"old_pk": L.key_of(F.col("cols"), "old"), "new_pk": L.key_of(F.col("cols"), "new")})
+    return parts.select("seq", part(0).alias("binlog_id"), part(1).try_cast("long").alias("ts_ms"), part(2).alias("db"), part(3).alias("tbl"), part(4).alias("op"), L.column_changes(F.col("parts")).alias("cols"), F.size("parts").alias("n_fields"), L.key_of(F.col("parts"), "old").alias("old_pk"), L.key_of(F.col("parts"), "new").alias("new_pk"))
 
 
 def read_changelog(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -62,10 +62,31 @@ def read_changes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_result(rows: DataFrame, path: str, null: str = L.NULL_WORDS[0]) -> None:
+def write_result(rows: DataFrame, path: str, null: str = L.NULL_WORDS[0], rows_per_file: int = 0) -> None:
     """Rows as tab-separated lines, each closed by a newline. Part files keep the rows' order: those of
-    a sorted DataFrame, put together by name, are the whole result. No task holds more than its part."""
-    rows.select(L.tsv_text(*[F.col(f"`{c}`") for c in rows.columns], null=null).alias("value")).write.mode("overwrite").text(path)
+    a sorted DataFrame, put together by name, are the whole result. No task holds more than its part, and
+    with rows_per_file no file has more rows than that."""
+    lines_ = rows.select(L.tsv_text(*[F.col(f"`{c}`") for c in rows.columns], null=null).alias("value"))
+    lines_.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).text(path)
+
+
+def write_log(lines_: DataFrame, path: str) -> None:
+    """Log lines (value, seq) as a log again: files 1.txt, 2.txt, ... under path, in the order of seq. Spark
+    sorts by ranges and each task writes its own file; the driver only renames them."""
+    spark = lines_.sparkSession
+    lines_.orderBy("seq").select("value").write.mode("overwrite").text(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in files.listStatus(folder))
+    for i, name in enumerate(n for n in names if n.startswith("part-")):
+        files.rename(spark._jvm.org.apache.hadoop.fs.Path(folder, name), spark._jvm.org.apache.hadoop.fs.Path(folder, f"{i + 1}.txt"))
+
+
+def result_lines(rows: DataFrame, null: str = L.NULL_WORDS[0]) -> Iterator[str]:
+    """The result's lines in order, handed on while Spark still makes the next ones; the driver holds two
+    partitions at most."""
+    text = rows.select(L.tsv_text(*[F.col(f"`{c}`") for c in rows.columns], null=null).alias("value"))
+    return (r["value"] for r in text.toLocalIterator(prefetchPartitions=True))
 
 
 @dataclass(frozen=True)
@@ -93,10 +114,18 @@ class TableSchema:
 
 
 def schemas(changes: DataFrame) -> DataFrame:
-    """db, tbl, cols (name, type, is_pk, in order) of every table, from its first insert."""
+    """db, tbl, cols (name, type, is_pk, in order) of every table, from its first insert.
+
+    The first insert is found by numbers alone, first of each split, then of all; the columns are built for
+    that line only, as the semi-join with one row a table goes below them."""
     about = F.transform("cols", lambda c: F.struct(c["name"].alias("name"), c["type"].alias("type"), c["is_pk"].alias("is_pk")))
     inserts = changes.where((F.col("op") == L.INSERT) & F.col("new_pk").isNotNull())
-    return inserts.select("db", "tbl", "seq", about.alias("cols")).groupBy("db", "tbl").agg(F.min_by("cols", "seq").alias("cols"))
+    table, file, block, rid = ["db", "tbl"], F.col("seq.file_no").alias("file"), F.col("seq.block_start").alias("block"), F.col("seq.rid")
+    of_split = inserts.select(*table, file, block, rid.alias("rid")).groupBy(*table, "file", "block").agg(F.min("rid").alias("rid"))
+    first = of_split.groupBy(*table).agg(F.min(F.struct("file", "block", "rid")).alias("at")).select(F.col("db").alias("_db"), F.col("tbl").alias("_tbl"), "at")
+    at = F.col("at")
+    same = (F.col("db") == F.col("_db")) & (F.col("tbl") == F.col("_tbl")) & F.col("seq.file_no").eqNullSafe(at["file"]) & F.col("seq.block_start").eqNullSafe(at["block"]) & (rid == at["rid"])
+    return inserts.join(F.broadcast(first), same, "left_semi").select("db", "tbl", about.alias("cols"))
 
 
 def infer_schema(changes: DataFrame, db: str, tbl: str) -> TableSchema:

@@ -207,3 +207,30 @@ def test_empty_log(spark, tmp_path):
 def test_text_helpers(spark):
     df = spark.createDataFrame([("a", None, 3), ("", "x", None)], "a string, b string, c int")
     assert [r[0] for r in df.select(L.tsv_text(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["a\tNULL\t3", "\tx\tNULL"]
+
+
+def test_logs_and_bounded_files(spark, core, tmp_path):
+    """Lines written as a log keep their order; result files have bounded rows; results come as an iterator."""
+    lines = C.lines(spark, write_logs((tmp_path / "in"), CORE, [1, 2, 10])) if (tmp_path / "in").mkdir() is None else None
+    C.write_log(lines.where(F.col("value").contains("|student|")), str(tmp_path / "log"))
+    assert all(x.split(".")[0].isdigit() for x in os.listdir(tmp_path / "log") if x.endswith(".txt"))
+    assert sorted(as_tuples(replay(C.read_changelog(spark, str(tmp_path / "log")), "m", "student"))) == LIVE
+    rows = lookup.range_query(core, lookup.RangeQuery("m", "student", -1, 2**64))
+    C.write_result(rows, str(tmp_path / "out"), rows_per_file=2)
+    parts = [open(tmp_path / "out" / p, encoding="utf-8").read() for p in sorted(os.listdir(tmp_path / "out")) if p.startswith("part-")]
+    assert all(p.count("\n") <= 2 for p in parts) and [int(x.split("\t")[0]) for x in "".join(parts).splitlines()] == [r[0] for r in LIVE]
+    assert [x.split("\t")[0] for x in C.result_lines(rows)] == [str(r[0]) for r in LIVE]
+
+
+def test_key_in_any_column(spark):
+    """The key is found wherever it stands, also beside values that look like columns."""
+    text = "|b:1|5|m|t|U|name:2:0|x:1:1|9:1:1|id:1:1|4|7|"
+    r = C.parse(spark.createDataFrame([(text, (1, 0, 0))], "value string, seq struct<file_no:int,block_start:long,rid:long>")).first()
+    assert (int(r["old_pk"]), int(r["new_pk"])) == (4, 7)
+
+
+def test_as_of_join(spark, core):
+    states = spark.createDataFrame([("m", "t", 1, (1, 0, i), f"v{i}") for i in range(0, 10, 3)], "db string, tbl string, pk int, seq struct<file_no:int,block_start:long,rid:long>, v string")
+    asked = spark.createDataFrame([("m", "t", p, (1, 0, i)) for p, i in ((1, 0), (1, 3), (1, 4), (1, 99), (2, 5))], "db string, tbl string, pk int, seq struct<file_no:int,block_start:long,rid:long>")
+    got = sorted((r["pk"], r["seq"]["rid"], r["state"] and r["state"]["v"]) for r in lookup.as_of_join(states, asked).collect())
+    assert got == [(1, 0, None), (1, 3, "v0"), (1, 4, "v3"), (1, 99, "v9"), (2, 5, None)]
