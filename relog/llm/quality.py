@@ -108,10 +108,15 @@ class AttentionModel:
 def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> AttentionModel:
     """Adam on the log loss of document labels. Without labels, or with one class, the bias alone is set."""
     rng = np.random.default_rng(seed)
-    every = np.concatenate(bags) if bags else np.zeros((1, FEATURES), np.float32)
-    n = every.shape[1]
+    n = bags[0].shape[1] if bags else FEATURES
+    rows, total, squares = 0, np.zeros(n), np.zeros(n)
+    for at in range(0, len(bags), BATCH):  # a batch at a time, as in the epochs: bags may be half floats
+        x = np.concatenate(bags[at : at + BATCH]).astype(np.float64)
+        rows, total, squares = rows + len(x), total + x.sum(axis=0), squares + (x * x).sum(axis=0)
+    mean = total / max(rows, 1)
+    scale = np.sqrt(np.maximum(squares / max(rows, 1) - mean * mean, 0)) + 0.01
     w = {"e": rng.normal(0, n**-0.5, (n, HIDDEN)), "eb": np.zeros(HIDDEN), "v": rng.normal(0, HIDDEN**-0.5, (HIDDEN, ATTENTION)), "u": rng.normal(0, HIDDEN**-0.5, (HIDDEN, ATTENTION)), "a": rng.normal(0, ATTENTION**-0.5, ATTENTION), "c": np.zeros(HIDDEN), "cb": np.zeros(1)}
-    model = AttentionModel(every.mean(axis=0), every.std(axis=0) + 0.01, w)
+    model = AttentionModel(mean.astype(np.float32), scale.astype(np.float32), w)
     if len(set(labels.tolist())) < 2:
         w["cb"][0] = 4.0 if not len(labels) or labels[0] else -4.0
         return model
@@ -146,9 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, passages:
             bags = [encode_passages(t.as_py() or "").astype(np.float16).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(bags, pa.binary())], names=["doc_id", "quality", "bag"])
 
-    got = sample.repartition(16, "doc_id").mapInArrow(run, "doc_id long, quality double, bag binary").toArrow().sort_by([("doc_id", "ascending")])
-    bags = [np.frombuffer(x.as_py(), np.float16).astype(np.float32).reshape(-1, FEATURES) for x in got.column("bag")]
-    return fit(bags, np.array(got.column("quality").to_pylist(), dtype=np.float64))
+    got = sample.repartition(16, "doc_id").mapInArrow(run, "doc_id long, quality double, bag binary").toArrow()
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+    bags = [np.frombuffer(x.as_buffer(), np.float16).reshape(-1, FEATURES) for x in got.column("bag")]  # not copied
+    return fit([bags[i] for i in order], got.column("quality").to_numpy()[order])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
