@@ -22,6 +22,8 @@ TRAIN_ROWS, TRAIN_PASSAGES = 6000, 40_000
 GRAMS, WORDS, PAIRS = 512, 256, 256
 FEATURES = GRAMS + WORDS + PAIRS + 3
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, DECAY = 32, 16, 25, 256, 0.01, 1e-3
+#: Passage features, which lie between 0 and log(65) / 4, go to the driver in steps of 1 / STEPS, a byte each.
+STEPS = 240
 CUT = 0.3
 FOLDS, HELD_OUT = 5, 0
 #: White space of ASCII.
@@ -105,13 +107,13 @@ class AttentionModel:
         return {k: d + DECAY * w[k] for k, d in out.items()}
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> AttentionModel:
-    """Adam on the log loss of document labels. Without labels, or with one class, the bias alone is set."""
+def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 0, unit: float = 1.0) -> AttentionModel:
+    """Adam on the log loss of document labels; bags hold features in multiples of unit. Without labels, or with one class, the bias alone is set."""
     rng = np.random.default_rng(seed)
     n = bags[0].shape[1] if bags else FEATURES
     rows, total, squares = 0, np.zeros(n), np.zeros(n)
-    for at in range(0, len(bags), BATCH):  # a batch at a time, as in the epochs: bags may be half floats
-        x = np.concatenate(bags[at : at + BATCH]).astype(np.float64)
+    for at in range(0, len(bags), BATCH):  # a batch at a time, as in the epochs: bags may be bytes
+        x = np.concatenate(bags[at : at + BATCH]).astype(np.float64) * unit
         rows, total, squares = rows + len(x), total + x.sum(axis=0), squares + (x * x).sum(axis=0)
     mean = total / max(rows, 1)
     scale = np.sqrt(np.maximum(squares / max(rows, 1) - mean * mean, 0)) + 0.01
@@ -126,7 +128,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> AttentionM
         for at in range(0, len(bags), BATCH):
             some = order[at : at + BATCH]
             sizes = np.array([len(bags[i]) for i in some])
-            grads, t = model.gradients(np.concatenate([bags[i] for i in some]), np.cumsum(sizes) - sizes, labels[some]), t + 1
+            grads, t = model.gradients(np.concatenate([bags[i] for i in some]) * np.float32(unit), np.cumsum(sizes) - sizes, labels[some]), t + 1
             for k, g in grads.items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 r[k] = 0.999 * r[k] + 0.001 * g * g
@@ -148,13 +150,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, passages:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [encode_passages(t.as_py() or "").astype(np.float16).tobytes() for t in batch.column("text")]
+            bags = [np.rint(encode_passages(t.as_py() or "") * STEPS).astype(np.uint8).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(bags, pa.binary())], names=["doc_id", "quality", "bag"])
 
     got = sample.repartition(16, "doc_id").mapInArrow(run, "doc_id long, quality double, bag binary").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    bags = [np.frombuffer(x.as_buffer(), np.float16).reshape(-1, FEATURES) for x in got.column("bag")]  # not copied
-    return fit([bags[i] for i in order], got.column("quality").to_numpy()[order])
+    bags = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, FEATURES) for x in got.column("bag")]  # not copied
+    model = fit([bags[i] for i in order], got.column("quality").to_numpy()[order], unit=1 / STEPS)
+    del got, bags
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
