@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ TRAIN_ROWS, TRAIN_PASSAGES = 6000, 40_000
 GRAMS, WORDS, PAIRS = 512, 256, 256
 FEATURES = GRAMS + WORDS + PAIRS + 3
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, DECAY = 32, 16, 25, 256, 0.01, 1e-3
-#: Passage features, which lie between 0 and log(65) / 4, go to the driver in steps of 1 / STEPS, a byte each.
+#: Passage features, which lie between 0 and log(65) / 4, go to the learning task in steps of 1 / STEPS, a byte each.
 STEPS = 240
 CUT = 0.3
 FOLDS, HELD_OUT = 5, 0
@@ -136,30 +137,45 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 0, unit: float =
     return model
 
 
+def _packed(model: AttentionModel) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, mean=model.mean, scale=model.scale, **{f"w_{k}": x for k, x in model.w.items()})
+    return out.getvalue()
+
+
+def _unpacked(b: bytes) -> AttentionModel:
+    with np.load(io.BytesIO(b)) as x:
+        return AttentionModel(x["mean"], x["scale"], {k[2:]: x[k] for k in x.files if k.startswith("w_")})
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, passages: int = TRAIN_PASSAGES) -> AttentionModel:
     """Learn from labelled documents outside the held-out fold: at most `rows`, the smallest hashes of doc_id
-    first, as long as their texts have at most `passages` passages together. A document's label is the
-    smallest it has, and of several texts of one doc_id the one of the smallest hash counts. Only the passage
-    features of these reach the driver."""
+    first, as long as their texts have at most `passages` passages together; a text of over a twentieth of
+    these is not learned from. A document's label is the smallest it has, and of several texts of one doc_id
+    the one of the smallest hash counts. Passages are encoded in many tasks; one task learns from this
+    bounded sample, and the model alone (some 300 kB) reaches the driver."""
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).where(crc_mod("doc_id", FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"))
     chosen = chosen.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     text = F.col("text").cast("string")
-    held = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    before = F.sum(F.floor(n_words(text_of()) / PASSAGE) + 1).over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over `rows` rows
-    sample = checkpoint(held).withColumn("upto", before).where(F.col("upto") <= passages).select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text")
+    held = checkpoint(docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+    counted = held.select("doc_id", (F.floor(n_words(text_of()) / PASSAGE) + 1).alias("n")).where(F.col("n") * 20 <= passages)
+    upto = F.sum("n").over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over `rows` pairs of numbers
+    within = counted.withColumn("upto", upto).where(F.col("upto") <= passages).select("doc_id")
+    sample = held.join(F.broadcast(within), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = [np.rint(encode_passages(t.as_py() or "") * STEPS).astype(np.uint8).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(bags, pa.binary())], names=["doc_id", "quality", "bag"])
 
-    got = sample.repartition(16, "doc_id").mapInArrow(run, "doc_id long, quality double, bag binary").toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    bags = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, FEATURES) for x in got.column("bag")]  # not copied
-    model = fit([bags[i] for i in order], got.column("quality").to_numpy()[order], unit=1 / STEPS)
-    del got, bags
-    pa.default_memory_pool().release_unused()
-    return model
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((row for b in batches for row in zip(b.column("doc_id").to_pylist(), b.column("quality").to_pylist(), b.column("bag").to_pylist(), strict=True)), key=lambda x: x[0])
+        model = fit([np.frombuffer(bag, np.uint8).reshape(-1, FEATURES) for _, _, bag in got], np.array([q for _, q, _ in got]), unit=1 / STEPS)
+        yield pa.RecordBatch.from_arrays([pa.array([_packed(model)], pa.binary())], names=["model"])
+
+    encoded = sample.repartition(16, "doc_id").mapInArrow(encode, "doc_id long, quality double, bag binary")
+    got = encoded.repartition(1).mapInArrow(learn, "model binary").first()
+    return _unpacked(got["model"]) if got else fit([], np.zeros(0))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -169,7 +185,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     The score depends on the text alone: null and empty texts are one passage without words. Null ids
     are in no fold's held-out part; repeated ids and rows are all scored. Without usable labels every
     document counts as good. An empty table gives an empty result. Every row stays in its task; the
-    model (a few kB) goes along with the function."""
+    model (some 300 kB) goes along with the function."""
     model = train(docs, labels, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
