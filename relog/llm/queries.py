@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, media, mixing, passages, pii, ppm, quality, sharding, simhash
+from . import ann, audit, bpe, media, mixing, passages, pii, ppm, quality, sharding, simhash, transducer, whitening
 from .common import documents
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,5 +54,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_quality, op4_neighbours, op5_ppm, op6_passages, op7_mixing, op8_bpe, op9_media, op10_pii)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.count_tokens(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash, op3_quality, op4_neighbours, op5_ppm, op6_passages, op7_mixing, op8_bpe, op9_media, op10_pii, op11_token_counts, op12_whitening, op13_filter_audit)}
+ORACLE_SQL: dict[str, str] = {"op13_filter_audit": audit.SQL}
