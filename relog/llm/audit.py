@@ -24,6 +24,8 @@ _SYMBOLS = b"#$%&*|"
 _LATER_BYTES = bytes(range(0x80, 0xC0))  # of a UTF-8 character
 #: Bytes of texts that a task holds while it looks for copies among its own rows.
 HELD = 64 << 20
+#: Bytes of texts for each partition that texts are routed to, where that makes more than the session's number.
+ROUTED_BYTES = 256 << 20
 ROWS = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
 
 
@@ -159,7 +161,8 @@ def filter_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labelled more than once is good (toxic) if any of its rows says so. Sources without documents, so empty
     tables, give no rows."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // ROUTED_BYTES)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")), text_of().cast("binary"))
     found = texts.rdd.mapPartitions(routed).repartitionAndSortWithinPartitions(n, partitionFunc=lambda print_: print_).mapPartitions(copies)
 
