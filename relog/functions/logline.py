@@ -20,7 +20,8 @@ COL_TYPE = "struct<name:string,type:int,is_pk:boolean,old:string,new:string>"
 
 def fields(line: Column) -> Column:
     """The fields of a line, empty ones kept, without those that a leading and a closing bar make."""
-    inner = F.regexp_replace(F.regexp_replace(line, r"^\|", ""), r"\|$", "")
+    inner = F.when(line.startswith("|"), F.substr(line, F.lit(2))).otherwise(line)
+    inner = F.when(inner.endswith("|"), F.left(inner, F.length(inner) - 1)).otherwise(inner)
     return F.split(inner, r"\|", -1)
 
 
@@ -38,24 +39,20 @@ def decoded(value: Column) -> Column:
 def column_changes(parts: Column) -> Column:
     """Array of COL_TYPE, in the line's order; empty where the fields don't come out even."""
 
-    def triple(i: Column) -> Column:
-        about = F.split(F.get(parts, 3 * i + HEADER), ":", -1)
-        return F.struct(
-            F.get(about, 0).alias("name"),
-            F.get(about, 1).try_cast("int").alias("type"),
-            F.coalesce(F.get(about, 2) == "1", F.lit(False)).alias("is_pk"),
-            decoded(F.get(parts, 3 * i + HEADER + 1)).alias("old"),
-            decoded(F.get(parts, 3 * i + HEADER + 2)).alias("new"),
-        )
+    raw = lambda i: F.struct(F.split(F.get(parts, 3 * i + HEADER), ":", -1).alias("about"), F.get(parts, 3 * i + HEADER + 1).alias("old"), F.get(parts, 3 * i + HEADER + 2).alias("new"))
+
+    def triple(x: Column) -> Column:
+        about = x["about"]
+        return F.struct(F.get(about, 0).alias("name"), F.get(about, 1).try_cast("int").alias("type"), F.coalesce(F.get(about, 2) == "1", F.lit(False)).alias("is_pk"), decoded(x["old"]).alias("old"), decoded(x["new"]).alias("new"))
 
     n = n_columns(parts)
-    return F.when(n.isNotNull(), F.transform(F.sequence(F.lit(0), n - 1), triple)).otherwise(F.array().cast(f"array<{COL_TYPE}>"))
+    return F.when(n.isNotNull(), F.transform(F.transform(F.sequence(F.lit(0), n - 1), raw), triple)).otherwise(F.array().cast(f"array<{COL_TYPE}>"))
 
 
 def key_of(parts: Column, side: str) -> Column:
     """Old or new value of the key column, as a number up to 2^64-1. The key mostly is the first column, so
     it is read from the fields; all columns are only built for lines where it is another one."""
-    first = (F.get(F.split(F.get(parts, F.lit(HEADER)), ":", -1), F.lit(2)) == "1") & n_columns(parts).isNotNull()
+    first = (F.split_part(F.get(parts, F.lit(HEADER)), F.lit(":"), F.lit(3)) == "1") & n_columns(parts).isNotNull()
     own = decoded(F.get(parts, F.lit(HEADER + (1 if side == "old" else 2))))
     return F.when(first, own).otherwise(F.get(F.filter(column_changes(parts), lambda c: c["is_pk"]), 0)[side]).try_cast(KEY_TYPE)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from relog.functions import logline as L
-from relog.operators.replay import END, key_events, replay
+from relog.operators.replay import END, chain_roots, key_events, replay
 from relog.operators.running import reliable, running
 from relog.sources.changelog import TableSchema, infer_schema, of_table
 
@@ -28,27 +29,86 @@ def key(value: int) -> Column:
     return F.lit(str(value)).cast(L.KEY_TYPE)
 
 
+#: Keys that are listed in the lines' filter, keys that are broadcast; more meet the lines by a shuffle.
+LISTED_KEYS, BROADCAST_KEYS = 5_000, 500_000
+
+
+def key_moves(changes: DataFrame) -> DataFrame:
+    """db, tbl, seq, old_pk, new_pk of the updates that move a key, checkpointed."""
+    return reliable(changes.where((F.col("op") == L.UPDATE) & (F.col("old_pk") != F.col("new_pk"))).select("db", "tbl", "seq", "old_pk", "new_pk"))
+
+
+def led_from(moves: DataFrame, into: DataFrame) -> DataFrame:
+    """db, tbl, pk: every key from which a chain of moves led to one of the moves in `into` (part of moves).
+
+    The move before a move is the last one into the key that it leaves, so chains are found by one as-of join and
+    pointer doubling: rounds are the logarithm of the longest chain. Keys of earlier moves in the chain are returned also
+    where a delete and an insert came in between, so there may be more keys than needed, never fewer."""
+    same = ["db", "tbl"]
+    told = moves.select(*same, F.col("new_pk").alias("pk"), "seq", F.col("seq").alias("id"))
+    before = as_of_join(told, moves.select(*same, F.col("old_pk").alias("pk"), "seq"))
+    chains = reliable(chain_roots(before.select(*same, F.col("seq").alias("id"), F.col("state.id").alias("up"))).withColumnRenamed("id", "seq"))
+    wanted = into.select(*same, "seq").join(chains, [*same, "seq"]).groupBy(*same, "root").agg(F.max("seq").alias("upto"))
+    return moves.join(chains, [*same, "seq"]).join(wanted, [*same, "root"]).where("seq <= upto").select(*same, F.col("old_pk").alias("pk")).distinct()
+
+
+def among(changes: DataFrame, keys: DataFrame, also: Column | None = None) -> DataFrame:
+    """The changes of one table of which the old or the new key is among keys (pk), or that `also` holds for. The keys'
+    number is looked at: few become part of the lines' filter, more are broadcast, beyond that they meet the lines
+    by a shuffle. Lines are taken apart only where they pass, as filters and semi-joins go below that."""
+    keys = reliable(keys.select(F.col("pk").alias("_pk")).where("_pk is not null").distinct())
+    n, old, new = keys.count(), F.col("old_pk"), F.col("new_pk")
+    if n <= LISTED_KEYS:
+        listed = [F.lit(str(r[0])).cast(L.KEY_TYPE) for r in keys.collect()]
+        has = F.coalesce(old.isin(listed), F.lit(False)) | F.coalesce(new.isin(listed), F.lit(False))
+        return changes.where(has if also is None else has | also)
+    known, rest = (F.broadcast(keys) if n <= BROADCAST_KEYS else keys), changes if also is None else changes.where(~also)
+    led_in = rest.where((F.col("op") == L.UPDATE) & (old != new)).join(known, old == F.col("_pk"), "left_anti").join(known, new == F.col("_pk"), "left_semi")
+    found = rest.join(known, F.coalesce(old, new) == F.col("_pk"), "left_semi").unionByName(led_in)
+    return found if also is None else found.unionByName(changes.where(also))
+
+
+def of_rows(changes: DataFrame, asked: Callable[[Column], Column]) -> DataFrame:
+    """The changes (of one table) that replay needs for the rows whose key is asked for in the end: those of the keys themselves and
+    of all keys from which moves could have led to them. All others are dropped before lines are taken apart."""
+    has = F.coalesce(asked(F.col("old_pk")), F.lit(False)) | F.coalesce(asked(F.col("new_pk")), F.lit(False))
+    moves = key_moves(changes)
+    into = moves.where(asked(F.col("new_pk")))
+    if into.isEmpty():
+        return changes.where(has)
+    return among(changes, led_from(moves, into), has)
+
+
 def range_query(changes: DataFrame, query: RangeQuery, schema: TableSchema | None = None) -> DataFrame:
-    """The rows of the range in key order. The range applies after replay: a row may be born outside of
-    it and move in. Spark sorts by range partitions, so no task holds the whole result."""
+    """The rows of the range in key order. A row may be born outside of the range and move in, so replay gets the
+    range's keys and those that moves led from. Spark sorts by range partitions, so no task holds the whole result."""
     changes = of_table(changes, query.db, query.tbl)
     schema = schema or infer_schema(changes, query.db, query.tbl)
+    inside = lambda pk: (pk > key(query.start)) & (pk < key(query.end))
     pk = F.col(schema.key)
-    return replay(changes, query.db, query.tbl, schema).where((pk > key(query.start)) & (pk < key(query.end))).orderBy(pk)
+    return replay(of_rows(changes, inside), query.db, query.tbl, schema).where(inside(pk)).orderBy(pk)
 
 
-def point_query(changes: DataFrame, db: str, tbl: str, pk: int) -> DataFrame:
-    """The row of one key, or none."""
-    schema = infer_schema(changes, db, tbl)
-    return replay(changes, db, tbl, schema).where(F.col(schema.key) == key(pk))
+def point_query(changes: DataFrame, db: str, tbl: str, pk: int, schema: TableSchema | None = None) -> DataFrame:
+    """The row of one key, or none; only lines of keys that could have led to it are replayed."""
+    changes = of_table(changes, db, tbl)
+    schema = schema or infer_schema(changes, db, tbl)
+    is_key = lambda c: c == key(pk)
+    return replay(of_rows(changes, is_key), db, tbl, schema).where(is_key(F.col(schema.key)))
 
 
-def key_list_query(changes: DataFrame, db: str, tbl: str, keys: DataFrame) -> DataFrame:
+def key_list_query(changes: DataFrame, db: str, tbl: str, keys: DataFrame, schema: TableSchema | None = None) -> DataFrame:
     """Rows for a list of keys (ord, pk), in the list's order; keys without a row give none, and keys
-    listed twice give two."""
-    schema = infer_schema(changes, db, tbl)
-    rows = replay(changes, db, tbl, schema)
-    asked = keys.select("ord", F.col("pk").cast(L.KEY_TYPE).alias("_pk"))
+    listed twice give two. Only lines of keys that could have led to one of them are replayed."""
+    changes = of_table(changes, db, tbl)
+    schema = schema or infer_schema(changes, db, tbl)
+    asked = reliable(keys.select("ord", F.col("pk").cast(L.KEY_TYPE).alias("_pk")))
+    wanted = asked.select(F.col("_pk").alias("pk")).distinct()
+    moves = key_moves(changes)
+    into = moves.join(wanted, F.col("new_pk") == F.col("pk"), "left_semi")
+    if not into.isEmpty():
+        wanted = wanted.unionByName(led_from(moves, into).select("pk"))
+    rows = replay(among(changes, wanted), db, tbl, schema)
     return asked.join(rows, F.col("_pk") == F.col(schema.key)).drop("_pk").orderBy("ord")
 
 
@@ -78,8 +138,8 @@ def as_of_join(states: DataFrame, asked: DataFrame, keys: tuple[str, ...] = ("db
 
 
 def previous_events(changes: DataFrame) -> DataFrame:
-    """Events with the seq of the event before of the same key, null for the first."""
-    return running(key_events(changes), lasts={"prev_seq": F.col("seq")})
+    """Events (without their columns) with the seq of the event before of the same key, null for the first."""
+    return running(key_events(changes).drop("cols"), lasts={"prev_seq": F.col("seq")})
 
 
 def last_events(changes: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def segments(events: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each incarnation of a key: start_seq, end_seq, from_move, moved_away, and for each
     column the last value set in it with its seq."""
     seq = F.col("seq")
-    events = incarnations(events).where(F.col("inc") > 0).select("db", "tbl", "pk", "inc", "seq", "kind", "moved", *[value_at(F.col("cols"), c).alias(f"v{i}") for i, c in enumerate(columns)])
+    events = incarnations(events.select("db", "tbl", "pk", "seq", "kind", "moved", *[value_at(F.col("cols"), c).alias(f"v{i}") for i, c in enumerate(columns)])).where(F.col("inc") > 0)
     aggregates = [
         F.min(F.when(F.col("kind") == START, seq)).alias("start_seq"),
         F.min(F.when(F.col("kind") == END, seq)).alias("end_seq"),
@@ -56,29 +58,37 @@ def segments(events: DataFrame, columns: list[str]) -> DataFrame:
     return events.groupBy("db", "tbl", "pk", "inc").agg(*aggregates)
 
 
-def roots(moved: DataFrame) -> DataFrame:
-    """db, tbl, start_seq, root: the first segment of the chain of moves that each of the segments is in.
+def chain_roots(links: DataFrame) -> DataFrame:
+    """db, tbl, id, root of links (db, tbl, id, up): the last that following up from id leads to; a null up, or one
+    that is no id, ends a chain.
 
-    A segment that a move began follows the one that the same move ended. Pointers double: the rounds
-    are the logarithm of the longest chain, each ends in a reliable checkpoint, and pointers that have
-    reached a root leave the loop."""
+    Pointers double: the rounds are the logarithm of the longest chain, each ends in a reliable checkpoint. What has
+    reached its root leaves the loop; the parts found in each round are put together once, at the end."""
     key = ["db", "tbl"]
-    ends = moved.where("moved_away").select(*key, F.col("end_seq").alias("child"), F.col("start_seq").alias("parent"))
-    starts = moved.select(*key, "start_seq", "from_move")
-    found = starts.join(ends, [*(starts[c] == ends[c] for c in key), starts["from_move"] & (starts["start_seq"] == ends["child"])], "left")
-    pointers = reliable(found.select(*[starts[c] for c in key], "start_seq", F.coalesce("parent", "start_seq").alias("up")))
-    done = pointers.where(F.col("up") == F.col("start_seq")).withColumnRenamed("up", "root")
-    open_ = pointers.where(F.col("up") != F.col("start_seq"))
+    known = links.select(*key, F.col("id").alias("up")).withColumn("is_id", F.lit(True))
+    pointers = reliable(links.join(known, [*key, "up"], "left").select(*key, "id", F.when(F.col("is_id"), F.col("up")).alias("up")))
+    found = [pointers.where("up is null").select(*key, "id", F.col("id").alias("root"))]
+    open_ = pointers.where("up is not null")
     while not open_.isEmpty():
-        at_root = done.select(*key, F.col("start_seq").alias("up"), "root")
-        hop = open_.select(*key, F.col("start_seq").alias("up"), F.col("up").alias("next"))
+        at_root = reduce(DataFrame.unionByName, found).select(*key, F.col("id").alias("up"), "root")
+        hop = open_.select(*key, F.col("id").alias("up"), F.col("up").alias("next"))
         stepped = reliable(open_.join(at_root, [*key, "up"], "left").join(hop, [*key, "up"], "left"))
-        done = reliable(done.unionByName(stepped.where("root is not null").select(*key, "start_seq", "root")))
+        found.append(stepped.where("root is not null").select(*key, "id", "root"))
         rest = stepped.where("root is null")
         if rest.where("next is null").limit(1).count():
-            raise ValueError("a key move leads nowhere")
-        open_ = rest.select(*key, "start_seq", F.col("next").alias("up"))
-    return done
+            raise ValueError("a chain leads nowhere")
+        open_ = rest.select(*key, "id", F.col("next").alias("up"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def roots(moved: DataFrame) -> DataFrame:
+    """db, tbl, start_seq, root: the first segment of the chain of moves that each of the segments is in. A segment
+    that a move began follows the one that the same move ended."""
+    key = ["db", "tbl"]
+    ends = moved.where("moved_away").select(*key, F.col("end_seq").alias("child"), F.col("start_seq").alias("parent"))
+    starts = moved.select(*key, "start_seq", "from_move")
+    found = starts.join(ends, [*(starts[c] == ends[c] for c in key), starts["from_move"] & (starts["start_seq"] == ends["child"])], "left")
+    return chain_roots(found.select(*[starts[c] for c in key], F.col("start_seq").alias("id"), F.col("parent").alias("up"))).withColumnRenamed("id", "start_seq")
 
 
 def replay(changes: DataFrame, db: str, tbl: str, schema: TableSchema | None = None) -> DataFrame:
@@ -103,11 +113,49 @@ def replay(changes: DataFrame, db: str, tbl: str, schema: TableSchema | None = N
     return rows.select(*[(F.col("pk") if is_key else schema.of(name, place[name])).alias(name) for name, _, is_key in schema.columns])
 
 
+def inherited(ends: DataFrame, n: int) -> DataFrame:
+    """db, tbl, child, v0, v1, ...: for each segment that a move began (child: its place), the values that the
+    segments before it in its chain had set.
+
+    ends: for each move, db, tbl, child, up (the place where the segment that it ended began, if a move began that
+    one too) and the values that this segment had set by then. Pointers double over the chains, and with each hop
+    what lies farther back fills what nearer segments left unset: logarithmic rounds, each a checkpoint."""
+    key, values = ["db", "tbl"], [f"v{i}" for i in range(n)]
+    open_, found = reliable(ends.select(*key, "child", "up", *values)), []
+    while True:
+        found.append(open_.where("up is null"))
+        if open_.where("up is not null").isEmpty():
+            return reduce(DataFrame.unionByName, found).select(*key, "child", *values)
+        back = reduce(DataFrame.unionByName, [*found, open_.where("up is not null")]).select(*key, F.col("child").alias("up"), F.col("up").alias("next"), *[F.col(v).alias(f"far_{v}") for v in values])
+        stepped = open_.where("up is not null").join(back, [*key, "up"], "left")
+        open_ = reliable(stepped.select(*key, "child", F.col("next").alias("up"), *[F.coalesce(v, f"far_{v}").alias(v) for v in values]))
+
+
 def running_state(changes: DataFrame, columns: list[str]) -> DataFrame:
-    """The state of each key after each of its events: db, tbl, pk, inc, seq, kind and the columns'
-    text. Moves start from nothing here; replay resolves them."""
-    events = incarnations(key_events(changes)).where(F.col("inc") > 0)
-    keys = ("db", "tbl", "pk", "inc")
-    events = events.withColumns({f"_new_{c}": value_at(F.col("cols"), c) for c in columns})
-    out = running(events, lasts={f"_old_{c}": F.col(f"_new_{c}") for c in columns}, keys=keys)
-    return out.select(*keys, "seq", "kind", *[F.coalesce(F.col(f"_new_{c}"), F.col(f"_old_{c}"))["v"].alias(c) for c in columns])
+    """The state of each row after each of its key's events: db, tbl, pk, inc, seq, kind and the columns' text (null
+    where NULL was assigned or nothing yet). A row keeps its values when a move changes its key.
+
+    One pass carries, along each key, what was set since its row's first event there; only rows of segments that a move
+    began go on: they get what their chain had set before (inherited), from the segment's first event on."""
+    keys, n = ("db", "tbl", "pk"), len(columns)
+    starts, seq = F.col("kind") == START, F.col("seq")
+    values, local = [f"v{i}" for i in range(n)], [f"_at{i}" for i in range(n)]
+    events = key_events(changes).select(*keys, "seq", "kind", "moved", *[value_at(F.col("cols"), c).alias(v) for c, v in zip(columns, values, strict=True)])
+    # what an event says of a column: a value, or, at a start, that there is none yet
+    says = {v: F.when(starts | F.col(v).isNotNull(), F.struct(F.col(v).alias("set"))) for v in values}
+    first = F.when(starts, F.struct(seq.alias("seq"), F.col("moved").alias("moved")))
+    carried = running(events, sums={"inc": starts.cast("long")}, lasts={f"_old_{v}": c for v, c in says.items()} | {"_first": first})
+    now = {at: F.coalesce(says[v], F.col(f"_old_{v}"))["set"] for at, v in zip(local, values, strict=True)}
+    begun = F.coalesce(first, F.col("_first"))
+    rows = reliable(carried.where("inc > 0").select(*keys, "inc", "seq", "kind", "moved", begun["seq"].alias("begun"), begun["moved"].alias("from_move"), *[c.alias(at) for at, c in now.items()]))
+    told = lambda df, at: df.select(*keys, "inc", "seq", "kind", *[c["v"].alias(name) for c, name in zip(at, columns, strict=True)])
+    moved = rows.where("from_move")
+    if moved.isEmpty():
+        return told(rows, [F.col(a) for a in local])
+    ends = rows.where((F.col("kind") == END) & F.col("moved")).select("db", "tbl", F.col("seq").alias("child"), F.when(F.col("from_move"), F.col("begun")).alias("up"), *[F.col(a).alias(v) for a, v in zip(local, values, strict=True)])
+    chain = inherited(ends, n).withColumnRenamed("child", "seq")
+    starting = moved.where(starts).join(chain, ["db", "tbl", "seq"], "left")
+    others = moved.where(~starts).select("*", *[F.lit(None).cast("struct<v:string>").alias(v) for v in values])
+    whole = running(starting.unionByName(others), lasts={f"_from_{v}": F.col(v) for v in values}, keys=(*keys, "inc"))
+    filled = [F.coalesce(F.col(a), F.col(v), F.col(f"_from_{v}")) for a, v in zip(local, values, strict=True)]
+    return told(rows.where(~F.col("from_move")), [F.col(a) for a in local]).unionByName(told(whole, filled))

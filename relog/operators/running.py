@@ -35,9 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 def running(df: DataFrame, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Adds, for rows with seq (file_no, block_start, rid): each of sums, up to and with the row; each of
-    lasts, the last value before the row that isn't null."""
+    lasts, the last value before the row that isn't null.
+
+    The rows are checkpointed once, so what made them (reading and parsing a log) runs once, though both the
+    blocks' totals and the windows inside of them read them: give only the columns that are needed."""
     sums, lasts = sums or {}, lasts or {}
-    df = df.withColumns({"_file": F.col("seq.file_no"), "_block": F.col("seq.block_start")} | {f"_in_{n}": c for n, c in (sums | lasts).items()})
+    df = reliable(df.withColumns({"_file": F.col("seq.file_no"), "_block": F.col("seq.block_start")} | {f"_in_{n}": c for n, c in (sums | lasts).items()}))
     at = [*keys, "_file", "_block"]
     inside = W.partitionBy(*at).orderBy("seq")
     upto, before = inside.rowsBetween(W.unboundedPreceding, 0), inside.rowsBetween(W.unboundedPreceding, -1)

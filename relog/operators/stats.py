@@ -66,7 +66,7 @@ def broken_lines(changes: DataFrame) -> DataFrame:
 def misplaced_events(changes: DataFrame) -> DataFrame:
     """seq, pk and problem of events that the state before does not allow: 'orphan' (update, delete or
     move of no row) and 'occupied' (insert or move onto a living row)."""
-    events = key_events(changes)
+    events = key_events(changes).drop("cols")
     edge = F.when(F.col("kind") != MOD, F.col("kind"))
     events = running(events, lasts={"last_edge": edge})
     alive = F.coalesce(F.col("last_edge") == START, F.lit(False))

@@ -21,11 +21,17 @@ def seq(phase: int | Column, place: Column) -> Column:
     return F.struct(number.cast("int").alias("file_no"), F.floor(place / BLOCK).cast("long").alias("block_start"), place.cast("long").alias("rid"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table of few files over all cores, as making and parsing lines costs more than reading."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """value, seq of a log over orders: 1 insert all; 2 update priority of every third key; 3 set status
     to NULL for every eleventh; 4 move every fifth key up; 5 move every 25th again, with a new status;
     6 delete every seventh key's row; 7 insert anew at every 35th key, which moves have vacated."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("cust"), F.floor(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    o = spread(spark.read.parquet(f"{sf_dir}/orders.parquet")).select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("cust"), F.floor(F.col("o_totalprice") * 100).cast("long").alias("cents"))
     k, none = F.col("k"), F.lit(None).cast("string")
     second = F.when(k % 5 == 0, k + STEP).otherwise(k)
     third = F.when(k % 25 == 0, k + 2 * STEP).otherwise(second)
@@ -62,7 +68,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     an update of kind and amount."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", F.floor(F.col("value") * 100).cast("long").alias("cents"))
     first = e.groupBy("user_id").agg(F.min("event_id").alias("first_id"))
-    e = e.join(first, "user_id")
+    e = spread(e).join(first, "user_id")
     none, is_first = F.lit(None).cast("string"), F.col("event_id") == F.col("first_id")
     ident = L.triple_text("user", L.NUMBER, True, F.when(~is_first, F.col("user_id")), F.col("user_id"))
     value = L.line_text(F.concat(F.lit("e:"), "event_id"), F.col("event_id"), DB, USERS, F.when(is_first, L.INSERT).otherwise(L.UPDATE), ident, L.triple_text("kind", L.STRING, False, none, F.col("event_type")), L.triple_text("cents", L.NUMBER, False, none, F.col("cents")))

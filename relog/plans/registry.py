@@ -152,10 +152,17 @@ def pk_prev_pointer(spark, sf_dir):
 
 @query("SELECT pk, phase, kind, CAST(sum(CASE WHEN kind = 'START' THEN 1 ELSE 0 END) OVER (PARTITION BY pk ORDER BY phase) AS BIGINT) AS inc FROM ev")
 def incarnation_numbers(spark, sf_dir):
-    return plain(incarnations(key_events(order_changes(spark, sf_dir))).select("pk", F.col("seq.file_no").alias("phase"), "kind", "inc"))
+    return plain(incarnations(key_events(order_changes(spark, sf_dir)).drop("cols")).select("pk", F.col("seq.file_no").alias("phase"), "kind", "inc"))
 
 
-@query("SELECT ev.pk, ev.phase, ev.kind, CASE WHEN pk <> ev.k THEN NULL WHEN phase = 7 THEN 'RE' WHEN ev.k % 3 = 0 AND phase >= 2 THEN 'P' || (ev.k % 10) ELSE priority END AS priority, CASE WHEN pk >= 2 * 100000000 THEN 'M' WHEN pk <> ev.k THEN NULL WHEN phase = 7 THEN status WHEN ev.k % 11 = 0 AND phase >= 3 THEN NULL ELSE status END AS status FROM ev JOIN o ON o.k = ev.k")
+#: The row's values after each event, in closed form: moves keep what was set before them.
+STATES = f"""SELECT ev.pk, ev.phase, ev.k, ev.kind,
+  CASE WHEN phase = 7 THEN 'RE' WHEN ev.k % 3 = 0 AND phase >= 2 THEN 'P' || (ev.k % 10) ELSE priority END AS priority,
+  CASE WHEN phase = 7 THEN status WHEN pk >= {2 * STEP} THEN 'M' WHEN ev.k % 11 = 0 AND phase >= 3 THEN NULL ELSE status END AS status
+  FROM ev JOIN o ON o.k = ev.k"""
+
+
+@query(f"SELECT pk, phase, kind, priority, status FROM ({STATES})")
 def running_states(spark, sf_dir):
     return plain(running_state(order_changes(spark, sf_dir), ["priority", "status"]).select("pk", F.col("seq.file_no").alias("phase"), "kind", "priority", "status"))
 
@@ -363,11 +370,15 @@ def incomplete_rows(spark, sf_dir):
     return plain(stats.incomplete_rows(changes, ORDER_SCHEMA).select("pk", F.col("seq.file_no").alias("phase"), "problem"))
 
 
-@query("SELECT k AS pk, CASE WHEN k % 3 = 0 OR k % 11 = 0 THEN 'MOD' ELSE 'START' END AS kind, CASE WHEN k % 3 = 0 THEN 'P' || (k % 10) ELSE priority END AS priority FROM o WHERE k % 10 = 0 UNION ALL SELECT k + 1, CASE WHEN k = o2 THEN NULL END, NULL FROM (SELECT -max(k) - 2 AS k, 0 AS o2 FROM o)")
+@query(f"""SELECT asked.pk, asked.before, arg_max(s.kind, s.phase) AS kind, arg_max(s.priority, s.phase) AS priority, arg_max(struct_pack(v := s.status), s.phase).v AS status
+  FROM (SELECT k + step * {STEP} AS pk, CAST(before AS INTEGER) AS before FROM o, range(0, 3) t(step), range(4, 9) b(before) WHERE k % 10 = 0 UNION ALL SELECT -max(k) - 1, 4 FROM o) asked
+  LEFT JOIN ({STATES}) s ON s.pk = asked.pk AND s.phase < asked.before GROUP BY asked.pk, asked.before""")
 def as_of_join(spark, sf_dir):
-    """The state of every tenth key before phase 4, and of a key that never was."""
-    states = running_state(order_changes(spark, sf_dir), ["priority"]).select("db", "tbl", "pk", "seq", "kind", "priority")
+    """The state of every tenth key, and of the keys that moves take its row to, before each of the phases 4 to 8:
+    before, between and after both moves, and after the delete; and of a key that never was."""
+    states = running_state(order_changes(spark, sf_dir), ["priority", "status"]).select("db", "tbl", "pk", "seq", "kind", "priority", "status")
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    keys = o.where("o_orderkey % 10 = 0").select("o_orderkey").unionByName(o.select((-F.max("o_orderkey") - 1).alias("o_orderkey")))
-    asked = keys.select(F.lit(DB).alias("db"), F.lit(ORDERS).alias("tbl"), F.col("o_orderkey").cast(L.KEY_TYPE).alias("pk"), seq(4, F.lit(-1)).alias("seq"))
-    return plain(lookup.as_of_join(states, asked).select("pk", "state.kind", "state.priority"))
+    tenth = o.where("o_orderkey % 10 = 0").select(F.explode(F.expr(f"transform(sequence(0, 14), i -> struct(o_orderkey + (i div 5) * {STEP} AS pk, CAST(4 + i % 5 AS INT) AS before))")).alias("a")).select("a.*")
+    never = o.select((-F.max("o_orderkey") - 1).alias("pk"), F.lit(4).alias("before"))
+    asked = tenth.unionByName(never).select(F.lit(DB).alias("db"), F.lit(ORDERS).alias("tbl"), F.col("pk").cast(L.KEY_TYPE).alias("pk"), seq(F.col("before"), F.lit(-1)).alias("seq"))
+    return plain(lookup.as_of_join(states, asked).select("pk", F.col("seq.file_no").alias("before"), "state.kind", "state.priority", "state.status"))
