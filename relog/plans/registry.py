@@ -15,8 +15,9 @@ from relog.operators import lookup, stats
 from relog.operators.replay import incarnations, key_events, replay, running_state
 from relog.operators.running import shared_folder
 from relog.plans.derived import DB, ORDERS, STEP, USERS, both_changes, event_changes, event_lines, order_changes, order_lines, seq
-from relog.sources.changelog import TableSchema, infer_schema, lines, of_table, parse, read_changelog, schemas, write_log
-from relog.streaming.snapshots import SnapshotMerge, as_inserts, follow
+from relog.sources.changelog import TableSchema, infer_schema, lines, of_table, parse, publish_result, read_changelog, read_published, schemas, write_log
+from relog.sources.files import Folder, log_files
+from relog.streaming.snapshots import State, as_inserts, follow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -319,32 +320,71 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/relog-log-{uuid.uuid4()}"
 
 
+#: Files of a log that a query writes.
+FILES = 12
+
+
+def written_log(spark: SparkSession, log: DataFrame) -> str:
+    """A folder with the log as 1.txt, ..., 12.txt."""
+    path = new_folder(spark)
+    write_log(log, path, FILES)
+    return path
+
+
 @query(f"SELECT {ROW} FROM state")
 def replay_from_files(spark, sf_dir):
-    """The log of two tables written as text files 1.txt, 2.txt, ..., 10.txt, ... and read back: the state
-    is right only if files, splits and lines keep their order."""
-    path = new_folder(spark)
-    write_log(order_lines(spark, sf_dir).unionByName(event_lines(spark, sf_dir)), path)
-    return plain(replay(read_changelog(spark, path), DB, ORDERS, ORDER_SCHEMA))
+    """The log of two tables written as text files 1.txt, ..., 12.txt and read back in splits of a third of a file:
+    the state is right only if files, splits and lines keep their order."""
+    path = written_log(spark, order_lines(spark, sf_dir).unionByName(event_lines(spark, sf_dir)))
+    size = max(Folder(spark, path).sizes().values())
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, (str(size // 3 + 1), "0"), strict=True):
+        spark.conf.set(n, v)
+    try:
+        return plain(replay(read_changelog(spark, path, complete=True), DB, ORDERS, ORDER_SCHEMA))
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
 
 
 @query(f"SELECT {ROW} FROM state")
 def streaming_merge(spark, sf_dir):
-    """A stream follows the log files, one a batch, and merges each into the table's next snapshot."""
+    """A stream follows 12 log files that come in another order than their numbers'; the first to come wait for those
+    before them, and batches of at most 5 are merged into the table's state."""
+    path = written_log(spark, order_lines(spark, sf_dir))
+    logs, state = Folder(spark, f"{path}-came"), State(spark, DB, ORDERS, f"{path}-state", ORDER_SCHEMA)
+    files = list(log_files(spark, path))
+    for some in (files[3:7], files[:3] + files[9:], files[7:9]):
+        for n in some:
+            logs.take(f"{path}/{n}.txt")
+        follow(logs.path, state, f"{path}-marks", files_per_batch=5).awaitTermination()
+    return plain(state.rows())
+
+
+@query(f"SELECT {ROW} FROM state")
+def bucketed_state(spark, sf_dir):
+    """The log's phases merged one after the other into a state by key buckets."""
+    changes = order_changes(spark, sf_dir)
+    state = State(spark, DB, ORDERS, new_folder(spark), ORDER_SCHEMA, buckets=32)
+    for phases in ((1, 2), (3, 4), (5, 5), (6, 7)):
+        state.merge(changes.where(F.col("seq.file_no").between(*phases)), phases[1])
+    return plain(state.rows())
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS row, {TSV} AS line FROM state WHERE id > 100 AND id < {BORN}")
+def published_result(spark, sf_dir):
+    """A key range as a published result of bounded parts, read back in order after a check of its parts."""
     path = new_folder(spark)
-    write_log(order_lines(spark, sf_dir).coalesce(3), path)
-    merge = SnapshotMerge(DB, ORDERS, f"{path}-out", ORDER_SCHEMA)
-    stream = follow(spark, path, merge, f"{path}-marks", files_per_batch=1)
-    stream.awaitTermination()
-    return plain(merge.snapshot(spark, stream.lastProgress["batchId"]))
+    publish_result(orders_range(spark, sf_dir, 100, BORN), path, rows_per_file=1000)
+    return read_published(spark, path).select("row", "line")
 
 
 @query("SELECT event_id, line FROM el")
 def filtered_lines(spark, sf_dir):
-    """The lines of one table, written as a log of their own and read back."""
-    path, both = new_folder(spark), order_lines(spark, sf_dir).unionByName(event_lines(spark, sf_dir))
+    """The lines of one table, written as a log of 12 files and read back."""
     tbl = F.get(L.fields(F.col("value")), F.lit(3))
-    write_log(both.where(tbl == USERS), path)
+    path = written_log(spark, order_lines(spark, sf_dir).unionByName(event_lines(spark, sf_dir)).where(tbl == USERS))
     return lines(spark, path).select(F.get(L.fields(F.col("value")), F.lit(1)).cast("long").alias("event_id"), F.col("value").alias("line"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relog.functions import logline as L
+from relog.sources.files import LOG_NAME, Folder, complete_log
 
-FILE_NAME = r"^(\d+)\.txt$"
+#: Names of the files that Spark's tasks write.
+PART_NAME = re.compile(r"^part-([0-9]+)")
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -26,7 +31,7 @@ def numbered(raw: DataFrame) -> DataFrame:
     """Adds seq and file_name to raw text lines of files."""
     name = F.col("_metadata.file_name")
     seq = F.struct(
-        F.regexp_extract(name, FILE_NAME, 1).try_cast("int").alias("file_no"),
+        F.regexp_extract(name, LOG_NAME.pattern, 1).try_cast("int").alias("file_no"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("rid"),
     )
@@ -43,9 +48,9 @@ def parse(lines_: DataFrame) -> DataFrame:
     return parts.select("seq", part(0).alias("binlog_id"), part(1).try_cast("long").alias("ts_ms"), part(2).alias("db"), part(3).alias("tbl"), part(4).alias("op"), L.column_changes(F.col("parts")).alias("cols"), F.size("parts").alias("n_fields"), L.key_of(F.col("parts"), "old").alias("old_pk"), L.key_of(F.col("parts"), "new").alias("new_pk"))
 
 
-def read_changelog(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Changes of the log files under path."""
-    return parse(lines(spark, path))
+def read_changelog(spark: SparkSession, path: str | list[str], complete: bool = False) -> DataFrame:
+    """Changes of the log files under path; complete: of 1.txt, 2.txt, ..., where a missing number is an error."""
+    return parse(lines(spark, complete_log(spark, path) if complete else path))
 
 
 def of_table(changes: DataFrame, db: str, tbl: str) -> DataFrame:
@@ -70,16 +75,73 @@ def write_result(rows: DataFrame, path: str, null: str = L.NULL_WORDS[0], rows_p
     lines_.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).text(path)
 
 
-def write_log(lines_: DataFrame, path: str) -> None:
+def write_log(lines_: DataFrame, path: str, files: int = 0) -> None:
     """Log lines (value, seq) as a log again: files 1.txt, 2.txt, ... under path, in the order of seq. Spark
-    sorts by ranges and each task writes its own file; the driver only renames them."""
+    sorts by ranges, `files` of them (by default the session's number of shuffle partitions), and each task writes
+    its own file; the driver only renames them. Ranges come from a sample, so a few may be empty and have no file."""
     spark = lines_.sparkSession
-    lines_.orderBy("seq").select("value").write.mode("overwrite").text(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = sorted(f.getPath().getName() for f in files.listStatus(folder))
-    for i, name in enumerate(n for n in names if n.startswith("part-")):
-        files.rename(spark._jvm.org.apache.hadoop.fs.Path(folder, name), spark._jvm.org.apache.hadoop.fs.Path(folder, f"{i + 1}.txt"))
+    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines_.repartitionByRange(n, "seq").sortWithinPartitions("seq").select("value").write.mode("overwrite").text(path)
+    folder = Folder(spark, path)
+    parts = {int(m[1]): (name, size) for name, size in folder.sizes().items() if (m := PART_NAME.match(name))}
+    filled = [parts[i][0] for i in sorted(parts) if parts[i][1] or len(parts) == 1]
+    for name, _ in parts.values():
+        if name not in filled:
+            folder.remove(name)
+    for i, name in enumerate(filled):
+        folder.move(name, f"{i + 1}.txt")
+
+
+def publish_result(rows: DataFrame, path: str, name: str = "result", null: str = L.NULL_WORDS[0], rows_per_file: int = 0) -> dict:
+    """The result as write_result makes it, as one published thing: `<path>/<name>.json` lists its parts in order, with
+    each one's rows, bytes, MD5, and first row and byte in the whole. The rows lie in a folder of their own, and the list
+    replaces the one before by a rename, so a rewrite that fails leaves the old result. Returns the list."""
+    spark, folder = rows.sparkSession, Folder(rows.sparkSession, path)
+    data = f"{name}-{uuid.uuid4().hex}"
+    write_result(rows, folder.at(data), null, rows_per_file)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder.at(data))
+    part = F.element_at(F.split("path", "/"), -1)
+    lines_in = F.size(F.split(F.decode("content", "UTF-8"), "\n")) - 1
+    about = files.select(part.alias("part"), F.col("length").alias("bytes"), lines_in.cast("long").alias("rows"), F.md5("content").alias("md5"))
+    parts, row, byte = [], 0, 0
+    for r in sorted(about.collect(), key=lambda r: (int(PART_NAME.match(r["part"])[1]), r["part"])):  # one row a file
+        if r["bytes"]:
+            parts.append({"part": r["part"], "first_row": row, "first_byte": byte, "rows": r["rows"], "bytes": r["bytes"], "md5": r["md5"]})
+            row, byte = row + r["rows"], byte + r["bytes"]
+    before = published(spark, path, name)
+    said = {"data": data, "columns": rows.columns, "rows": row, "bytes": byte, "parts": parts, "number": (before or {"number": 0})["number"] + 1}
+    folder.publish(f"{name}.{said['number']}.json", json.dumps(said))
+    if before:
+        folder.remove(f"{name}.{before['number']}.json")
+        folder.remove(before["data"])
+    return said
+
+
+def published(spark: SparkSession, path: str, name: str = "result") -> dict | None:
+    """The newest list of a published result, or None."""
+    folder = Folder(spark, path)
+    numbers = [int(m[1]) for f in folder.names() if (m := re.match(rf"^{re.escape(name)}\.([0-9]+)\.json$", f))]
+    return json.loads(folder.read(f"{name}.{max(numbers)}.json")) if numbers else None
+
+
+def read_published(spark: SparkSession, path: str, name: str = "result") -> DataFrame:
+    """line, row (its number in the whole, from 0) of a published result. Parts are checked against the list first, in
+    tasks; one that is missing or has other bytes is an error."""
+    said = published(spark, path, name)
+    if said is None:
+        raise FileNotFoundError(f"no result {name} in {path}")
+    listed = spark.createDataFrame([(p["part"], p["first_row"], p["md5"]) for p in said["parts"]], "part string, first_row long, md5 string")
+    if not said["parts"]:
+        return listed.select(F.col("part").alias("line"), F.col("first_row").alias("row"))
+    folder = Folder(spark, path).at(said["data"])
+    found = spark.read.format("binaryFile").load([f"{folder}/{p['part']}" for p in said["parts"]])
+    last = F.element_at(F.split("path", "/"), -1)
+    wrong = found.select(last.alias("part"), F.md5("content").alias("is")).join(F.broadcast(listed), "part", "right").where(~F.col("is").eqNullSafe(F.col("md5"))).first()
+    if wrong:
+        raise ValueError(f"part {wrong['part']} of {name} has changed")
+    text = spark.read.option("wholetext", True).text([f"{folder}/{p['part']}" for p in said["parts"]]).select("value", F.col("_metadata.file_name").alias("part"))
+    split = text.join(F.broadcast(listed), "part").select("first_row", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("at", "line"))
+    return split.select("line", (F.col("first_row") + F.col("at")).alias("row"))
 
 
 def result_lines(rows: DataFrame, null: str = L.NULL_WORDS[0]) -> Iterator[str]:

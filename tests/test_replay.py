@@ -10,7 +10,6 @@ from relog.functions import logline as L
 from relog.operators import lookup, stats
 from relog.operators.replay import replay
 from relog.sources import changelog as C
-from relog.streaming.snapshots import SnapshotMerge, follow
 
 STUDENT = [("id", 1, 1), ("first_name", 2, 0), ("last_name", 2, 0), ("sex", 2, 0), ("score", 1, 0)]
 NAMES = [c[0] for c in STUDENT]
@@ -169,24 +168,6 @@ def test_random_logs(spark, tmp_path, seed):
     assert stats.misplaced_events(changes).count() == 0
 
 
-def test_streaming(spark, tmp_path):
-    """Files come one after the other; each batch makes a snapshot, and a late file is an error."""
-    lines, want = random_log(7)
-    logs = tmp_path / "logs"
-    logs.mkdir()
-    merge = SnapshotMerge("m", "student", str(tmp_path / "out"))
-    size = -(-len(lines) // 3)
-    for i, name in enumerate([1, 2, 10]):
-        part = tmp_path / "part"
-        part.write_text("".join(x + "\n" for x in lines[i * size : (i + 1) * size]), encoding="utf-8")
-        part.rename(logs / f"{name}.txt")
-        follow(spark, str(logs), merge, str(tmp_path / "checkpoint")).awaitTermination()
-    assert sorted(as_tuples(merge.snapshot(spark, 2)), key=lambda r: r[0]) == want
-    (logs / "5.txt").write_text(lines[0] + "\n", encoding="utf-8")
-    with pytest.raises(Exception, match="came after"):
-        follow(spark, str(logs), merge, str(tmp_path / "checkpoint")).awaitTermination()
-
-
 def test_long_chain(spark, tmp_path):
     """A row that moves 100 times keeps what was set on the way."""
     lines = [line("I", None, 0, new=row("a", "b", "c", 0))]
