@@ -148,10 +148,16 @@ def last_events(changes: DataFrame) -> DataFrame:
     return key_events(changes).groupBy("db", "tbl", "pk").agg(F.max("seq").alias("seq"), F.max_by(e, "seq").alias("e")).select("db", "tbl", "pk", "seq", "e.*")
 
 
-def event_lists(changes: DataFrame, newest_first: bool = True) -> DataFrame:
-    """db, tbl, pk, events (seq, op): each key's log as one array. It is for keys of ordinary size; the
-    history of a very hot key is better read with history()."""
-    events = key_events(changes).groupBy("db", "tbl", "pk").agg(F.collect_list(F.struct("seq", "op")).alias("events"))
+#: Events in a block of a key's list.
+LIST_BLOCK = 1000
+
+
+def event_lists(changes: DataFrame, newest_first: bool = True, block: int = LIST_BLOCK) -> DataFrame:
+    """db, tbl, pk, block, events (seq, op): each key's log as arrays of at most `block` events. Blocks are numbered from the
+    key's first event on, by a running count, so a key with a third of the log is many rows that many tasks make."""
+    numbered = running(key_events(changes).select("db", "tbl", "pk", "seq", "op"), sums={"place": F.lit(1).cast("long")})
+    at = F.floor((F.col("place") - 1) / block).cast("long").alias("block")
+    events = numbered.groupBy("db", "tbl", "pk", at).agg(F.collect_list(F.struct("seq", "op")).alias("events"))
     return events.withColumn("events", F.sort_array("events", asc=not newest_first))
 
 
@@ -192,5 +198,13 @@ def changed_columns(changes: DataFrame) -> DataFrame:
 
 
 def numbered_by_key(rows: DataFrame, pk: str, group: str) -> DataFrame:
-    """Adds place: the row's number in key order inside its group."""
-    return rows.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(pk)))
+    """Adds place: the row's number in key order inside its group, from 1. Keys are dealt to ranges; a row's place is that in
+    its range's part of the group and the sizes of the parts before. So a group is as many tasks as there are ranges."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = reliable(rows.repartitionByRange(n, pk).withColumn("_range", F.spark_partition_id()))
+    part = W.partitionBy(group, "_range")
+    before = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    sizes = dealt.groupBy(group, "_range").agg(F.count("*").alias("_n")).select(group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    local = dealt.withColumn("_at", F.row_number().over(part.orderBy(pk)))
+    on = local[group].eqNullSafe(sizes[group]) & (local["_range"] == sizes["_range"])
+    return local.join(sizes, on).select(*[local[c] for c in rows.columns], (F.col("_before") + F.col("_at")).alias("place"))

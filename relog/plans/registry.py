@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from relog.functions import logline as L
 from relog.operators import lookup, stats
+from relog.operators.backward import latest_rows
 from relog.operators.replay import incarnations, key_events, replay, running_state
 from relog.operators.running import shared_folder
 from relog.plans.derived import DB, ORDERS, STEP, USERS, both_changes, event_changes, event_lines, order_changes, order_lines, seq
-from relog.sources.changelog import TableSchema, infer_schema, lines, of_table, parse, publish_result, read_changelog, read_published, schemas, write_log
+from relog.sources.changelog import TableSchema, infer_schema, lines, of_table, parse, publish_result, read_changelog, read_published, schemas, write_log, write_result
 from relog.sources.files import Folder, log_files
+from relog.sources.store import EventStore
 from relog.streaming.snapshots import State, as_inserts, follow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -281,7 +283,7 @@ def multi_table_filter(spark, sf_dir):
 @query(f"SELECT id, CAST(id % {SHARDS} AS INTEGER) AS shard, CAST(row_number() OVER (PARTITION BY id % {SHARDS} ORDER BY id) AS INTEGER) AS place FROM state")
 def shard_assignment(spark, sf_dir):
     rows = lookup.shards(final_orders(spark, sf_dir).select("id"), "id", SHARDS)
-    return lookup.numbered_by_key(rows, "id", "shard")
+    return lookup.numbered_by_key(rows, "id", "shard").withColumn("place", F.col("place").cast("int"))
 
 
 @query(f"SELECT {ROW} FROM state ORDER BY id LIMIT 3")
@@ -300,6 +302,30 @@ def key_event_lists(spark, sf_dir):
     return plain(lists.select("pk", F.array_join(F.transform("events", lambda e: F.concat(e["seq"]["file_no"].cast("string"), e["op"])), ",").alias("ops")))
 
 
+@query("SELECT pk, CAST((n - 1) // 2 AS BIGINT) AS block, string_agg(phase || op, ',' ORDER BY phase) AS ops FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY phase) AS n FROM ev) GROUP BY pk, block")
+def key_event_blocks(spark, sf_dir):
+    """Each key's log in blocks of two events."""
+    lists = lookup.event_lists(order_changes(spark, sf_dir), newest_first=False, block=2)
+    return plain(lists.select("pk", "block", F.array_join(F.transform("events", lambda e: F.concat(e["seq"]["file_no"].cast("string"), e["op"])), ",").alias("ops")))
+
+
+@query(f"SELECT pk, phase, k, kind, moved FROM ev WHERE pk > 100 AND pk < {BORN}")
+def stored_events(spark, sf_dir):
+    """Two appends to a store that is clustered by key, compacted, and a key range's events from it."""
+    changes, store = order_changes(spark, sf_dir), EventStore(spark, new_folder(spark))
+    for phases in ((1, 3), (4, 7)):
+        store.append(changes.where(F.col("seq.file_no").between(*phases)))
+    store.compact()
+    return plain(store.events(DB, ORDERS, 101, BORN - 1).select(*placed("pk"), "kind", "moved"))
+
+
+@query(f"SELECT count(*) AS n_rows, CAST(sum(strlen({TSV}) + 1) AS BIGINT) AS n_bytes FROM state")
+def written_size(spark, sf_dir):
+    """Rows and bytes of the table as a written result, counted while it is written."""
+    said = write_result(final_orders(spark, sf_dir), new_folder(spark))
+    return spark.createDataFrame([(said["n_rows"], said["n_bytes"])], "n_rows long, n_bytes long")
+
+
 @query(f"SELECT {ROW} FROM state")
 def snapshot_merge(spark, sf_dir):
     """The state after phase 3 as a snapshot, and the rest of the log replayed onto it."""
@@ -380,6 +406,16 @@ def published_result(spark, sf_dir):
     return read_published(spark, path).select("row", "line")
 
 
+@query(f"SELECT s_suppkey * 3 + a.i AS ord, {ROW} FROM supplier, (VALUES (0, {STEP}), (1, 0), (2, {2 * STEP})) a(i, away) JOIN state ON id = s_suppkey * 5 + a.away")
+def latest_of_keys(spark, sf_dir):
+    """Rows of keys before and after one and two moves, from the newest of 12 log files backwards."""
+    path = written_log(spark, order_lines(spark, sf_dir))
+    away = F.expr(f"explode(array(struct(0 AS i, {STEP} AS away), struct(1 AS i, 0 AS away), struct(2 AS i, {2 * STEP} AS away)))")
+    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", away.alias("a"))
+    rows, _ = latest_rows(spark, path, DB, ORDERS, keys.select((F.col("s_suppkey") * 3 + F.col("a.i")).alias("ord"), (F.col("s_suppkey") * 5 + F.col("a.away")).alias("pk")), ORDER_SCHEMA)
+    return plain(rows)
+
+
 @query("SELECT event_id, line FROM el")
 def filtered_lines(spark, sf_dir):
     """The lines of one table, written as a log of 12 files and read back."""

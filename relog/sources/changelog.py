@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,12 +67,15 @@ def read_changes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_result(rows: DataFrame, path: str, null: str = L.NULL_WORDS[0], rows_per_file: int = 0) -> None:
+def write_result(rows: DataFrame, path: str, null: str = L.NULL_WORDS[0], rows_per_file: int = 0) -> dict:
     """Rows as tab-separated lines, each closed by a newline. Part files keep the rows' order: those of
     a sorted DataFrame, put together by name, are the whole result. No task holds more than its part, and
-    with rows_per_file no file has more rows than that."""
+    with rows_per_file no file has more rows than that. Returns the rows and bytes written, counted as they are written."""
     lines_ = rows.select(L.tsv_text(*[F.col(f"`{c}`") for c in rows.columns], null=null).alias("value"))
-    lines_.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).text(path)
+    seen = Observation()
+    counted = lines_.observe(seen, F.count("*").alias("n_rows"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("n_bytes"))
+    counted.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).text(path)
+    return dict(seen.get)
 
 
 def write_log(lines_: DataFrame, path: str, files: int = 0) -> None:
