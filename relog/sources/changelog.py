@@ -142,7 +142,7 @@ def read_published(spark: SparkSession, path: str, name: str = "result") -> Data
     wrong = found.select(last.alias("part"), F.md5("content").alias("is")).join(F.broadcast(listed), "part", "right").where(~F.col("is").eqNullSafe(F.col("md5"))).first()
     if wrong:
         raise ValueError(f"part {wrong['part']} of {name} has changed")
-    text = spark.read.option("wholetext", True).text([f"{folder}/{p['part']}" for p in said["parts"]]).select("value", F.col("_metadata.file_name").alias("part"))
+    text = spark.read.text([f"{folder}/{p['part']}" for p in said["parts"]], wholetext=True).select("value", F.col("_metadata.file_name").alias("part"))
     split = text.join(F.broadcast(listed), "part").select("first_row", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("at", "line"))
     return split.select("line", (F.col("first_row") + F.col("at")).alias("row"))
 

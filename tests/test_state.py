@@ -122,7 +122,9 @@ def test_a_state_without_the_tables_insert(spark, tmp_path):
 def test_published_results(spark, core, tmp_path, monkeypatch):
     rows = lookup.range_query(core, lookup.RangeQuery("m", "student", -1, 2**64), SCHEMA)
     said = C.publish_result(rows, str(tmp_path), rows_per_file=2)
-    text = [r["line"] for r in C.read_published(spark, str(tmp_path)).orderBy("row").collect()]
+    read = C.read_published(spark, str(tmp_path)).orderBy("row").collect()
+    text = [r["line"] for r in read]
+    assert [r["row"] for r in read] == list(range(len(text)))
     assert [x.split("\t")[0] for x in text] == [str(r[0]) for r in as_tuples(rows)] and said["rows"] == len(text)
     assert said["bytes"] == sum(len(x.encode()) + 1 for x in text) and all(p["rows"] <= 2 for p in said["parts"])
     offsets = [(p["first_row"], p["first_byte"]) for p in said["parts"]]
