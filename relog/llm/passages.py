@@ -314,7 +314,8 @@ def one_gap_links(texts: DataFrame, unsettled: DataFrame) -> DataFrame:
     """a, b: near passages between different components at unsettled (sig, node, component, n, pairs) sites.
 
     Sites of a signature are compared where they are not too many (near_sites). Sites of more frequent
-    signatures meet by what an edit leaves of a passage (gapped_runs): linear in the sites, and as exact.
+    signatures meet by what an edit leaves of a passage (gapped_runs): linear in the sites. These
+    miss near passages whose halves are exchanged, which the comparison finds.
     Both read once more the texts of these sites alone. unsettled has n, the signature's texts, and pairs,
     how many pairs of different components these make."""
 

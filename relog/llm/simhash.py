@@ -189,8 +189,9 @@ def one_of_each(docs: DataFrame, similarity: float = nearcopies.SIMILARITY, shin
 
     Texts are near copies from a Jaccard similarity of their word shingles on; groups follow verified links.
     At 0.8 that is about 10 of 64 fingerprint bits, too many to search by blocks, so the texts meet by
-    min-hashes instead."""
-    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("row", F.xxhash64("doc_id", "text"))
+    min-hashes instead. Rows and shingle sets are told apart by 128 bits of hash each."""
+    said = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("row", F.unhex(F.md5(F.concat_ws(":", said("doc_id"), said("text")))))
     prints = checkpoint(nearcopies.signatures(docs, shingle))
     found = nearcopies.classes(docs, prints, similarity, shingle)
     grouped = prints.select("doc_id", "row", "key").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
