@@ -29,8 +29,10 @@ RUN = (COMMON + 1) // 2
 #: Min-hash functions that must agree on a run.
 HASHES = 2
 #: Sites of one signature that one task compares, and how many pairs of different components these may make;
-#: beyond either they meet by gapped runs.
+#: beyond either they meet by their rarest shingles, in blocks. Both ways find the same classes.
 TOGETHER, PAIRS = 20_000, 20_000_000
+#: Sites of a rare shingle in one block, on average.
+BLOCK = 2048
 #: Rows that a task gathers before it links those of equal keys.
 CHUNK = 1 << 21
 _RNG = np.random.default_rng(5)
@@ -40,6 +42,8 @@ _WHOLE = _RNG.integers(1, 2**63, COMMON).astype(np.uint64) * np.uint64(2) + np.u
 _REACH = LENGTH - RUN  # a passage around a run begins and ends at most so far from it
 PAIR = "a long, b long"
 SITE = ["sig", "component", "node", "part", "low", "high"]
+SITES = pa.schema(list(zip(SITE, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)))
+SITE_ROW = "sig long, component long, node long, part binary, low int, high int"
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -83,10 +87,22 @@ def runs(s: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out
 
 
+def repeating(s: np.ndarray, length: int) -> np.ndarray:
+    """For each run of `length` values whether it holds a value twice."""
+    before = np.full(len(s), -1)  # where a value stood last
+    by = np.argsort(s, kind="stable")
+    same = s[by[1:]] == s[by[:-1]]
+    before[by[1:][same]] = by[:-1][same]
+    if not same.any() or len(s) < length:
+        return np.zeros(max(0, len(s) - length + 1), bool)
+    return np.lib.stride_tricks.sliding_window_view(before, length).max(axis=1) >= np.arange(len(s) - length + 1)
+
+
 def gapped_runs(s: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Hashes of COMMON shingles in two runs with one of GAPS between them, the longer run around one of
-    RUN shingles that begins in low..high: what is left of a passage where one word is edited."""
+    """Hashes of COMMON different shingles in two runs with one of GAPS between them, the longer run around
+    one of RUN shingles that begins in low..high: what is left of a passage where one word is edited."""
     out = [np.zeros(0, np.uint64)]
+    several = len(np.unique(s)) < len(s)
     for gap in GAPS:
         for cut in range(max(1, low - COMMON), min(len(s) - gap, high + COMMON) + 1):  # the first shingle of the gap
             first = np.arange(max(0, cut - COMMON + 1), cut)
@@ -96,7 +112,10 @@ def gapped_runs(s: np.ndarray, low: int, high: int) -> np.ndarray:
             first = first[(on_left | on_right) & (cut + gap + right <= len(s))]
             if len(first):
                 at = first[:, None] + np.arange(COMMON)
-                out.append((s[np.where(at < cut, at, at + gap)] * _WHOLE).sum(axis=1))
+                held = s[np.where(at < cut, at, at + gap)]
+                if several:  # as sets such passages have less in common
+                    held = held[(np.diff(np.sort(held, axis=1), axis=1) != 0).all(axis=1)]
+                out.append((held * _WHOLE).sum(axis=1))
     return np.unique(np.concatenate(out))
 
 
@@ -248,11 +267,16 @@ def pairs_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_runs(text: str, sigs: list[int]) -> np.ndarray:
-    """Hashes of a text's runs of COMMON shingles of which every run of RUN has a signature of sigs."""
+    """Hashes of a text's runs of COMMON shingles of which every run of RUN has a signature of sigs. Where a
+    run holds a shingle twice, texts may have less in common as sets: there it takes a whole equal passage."""
     s = shingles(text)
     met = np.concatenate([[0], np.isin(signatures(s), np.array(sigs, np.int64).view(np.uint64)).cumsum()])
     span = COMMON - RUN + 1
-    return np.unique(runs(s, np.flatnonzero(met[span:] - met[:-span] == span)))
+    begins = np.flatnonzero(met[span:] - met[:-span] == span)
+    twice = repeating(s, COMMON)[begins]
+    whole = begins[twice & (begins + LENGTH <= len(s))]
+    equal = scattered(runs(s, whole) * _SIGN[0] + runs(s, whole + LENGTH - COMMON) * _SIGN[1])
+    return np.unique(np.concatenate([runs(s, begins[~twice]), equal]))
 
 
 def sites(text: str, sigs: list[int]) -> Iterator[tuple[int, np.ndarray, int, int]]:
@@ -310,59 +334,178 @@ def near_sites(components_: np.ndarray, nodes: np.ndarray, parts: list[np.ndarra
                 yield int(nodes[i]), int(nodes[j])
 
 
-def one_gap_links(texts: DataFrame, unsettled: DataFrame) -> DataFrame:
-    """a, b: near passages between different components at unsettled (sig, node, component, n, pairs) sites.
+def prefix(part: np.ndarray, held: dict[int, int]) -> list[int]:
+    """Shingles of a site by which it meets every near site of its signature: of each passage those that it
+    could not all miss, rarest first. held gives the number of sites of the shingles that other components
+    have too; all other shingles come first and meet nothing.
+
+    Passages of similarity SIMILARITY share at least that part of the different shingles of either. In
+    any order that both keep to, each has a shared one among its first d - ceil(SIMILARITY * d) + 1 of d."""
+    kinds = np.unique(part)
+    order = np.array([held.get(x, 0) for x in kinds.view(np.int64).tolist()], np.int64)
+    by = np.lexsort((kinds, order))
+    place = np.empty(len(kinds), np.int64)
+    place[by] = np.arange(len(kinds))
+    at = place[np.searchsorted(kinds, part)]
+    chosen: set[int] = set()
+    for k in range(len(part) - LENGTH + 1):
+        passage = np.unique(at[k : k + LENGTH])
+        d = len(passage)
+        chosen.update(passage[: d - math.ceil(SIMILARITY * d - 1e-9) + 1].tolist())
+    chosen_kinds = by[np.array(sorted(chosen), np.int64)]
+    return kinds[chosen_kinds[order[chosen_kinds] > 0]].view(np.int64).tolist()
+
+
+def cut_sites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sites (SITE) of texts (node, component, text, sigs)."""
+    for batch in batches:
+        rows = []
+        for node, component, text, sigs in zip(*(batch.column(c).to_pylist() for c in ("node", "component", "text", "sigs")), strict=True):
+            rows += [(sig, component, node, part.tobytes(), low, high) for sig, part, low, high in sites(text, sigs)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(SITES)], schema=SITES)
+
+
+def compared_sites(rows: DataFrame) -> DataFrame:
+    """a, b: links between near sites (SITE) of one signature. Where a signature has more sites than a task
+    should hold, its sites come back as they are (a is null)."""
 
-    Sites of a signature are compared where they are not too many (near_sites). Sites of more frequent
-    signatures meet by what an edit leaves of a passage (gapped_runs): linear in the sites. These
-    miss near passages whose halves are exchanged, which the comparison finds.
-    Both read once more the texts of these sites alone. unsettled has n, the signature's texts, and pairs,
-    how many pairs of different components these make."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        passing = None  # a signature whose sites are passed on
 
-    def chosen(rows: DataFrame) -> DataFrame:
-        wanted = rows.groupBy("node").agg(F.min("component").alias("component"), F.collect_set("sig").alias("sigs"))  # at most a text's windows
-        return texts.join(wanted, "node").dropDuplicates(["node"]).select("node", "component", "text", "sigs")
+        def links() -> list[tuple]:
+            if len(held) < 2:
+                return []
+            component, node = (np.array([row[k] for row in held], np.int64) for k in (1, 2))
+            return [(*link, *[None] * 6) for link in near_sites(component, node, [np.frombuffer(row[3], np.uint64) for row in held])]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for node, component, text, sigs in zip(*(batch.column(c).to_pylist() for c in ("node", "component", "text", "sigs")), strict=True):
-                rows += [(sig, component, node, part.tobytes(), low, high) for sig, part, low, high in sites(text, sigs)]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=SITE)
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            types = [pa.int64(), pa.int64(), *SITES.types]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=["a", "b", *SITE])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(group: list[tuple]) -> Iterator[tuple[int, int]]:
-            parts = [np.frombuffer(row[3], np.uint64) for row in group]
-            if len(group) > 2 * TOGETHER:  # few texts that have the signature at very many places each
-                keys = [gapped_runs(part, *row[-2:]) for part, row in zip(parts, group, strict=True)]
-                nodes = np.repeat(np.array([row[2] for row in group], np.int64), [len(k) for k in keys])
-                _, node, first, _ = first_of_each(np.concatenate(keys), nodes)
-                yield from zip(*(x.tolist() for x in pairs_of(first[node != first], node[node != first])), strict=True)
-            elif len(group) > 1:
-                yield from near_sites(*(np.array([row[k] for row in group], np.int64) for k in (1, 2)), parts)
-
-        held: list[tuple] = []
         for batch in batches:
-            out = []
+            out: list[tuple] = []
             for row in zip(*(batch.column(c).to_pylist() for c in SITE), strict=True):
                 if held and held[0][0] != row[0]:
-                    out += links(held)
+                    out += links()
                     held = []
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-        last = list(links(held))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in last], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                if row[0] == passing or len(held) > 2 * TOGETHER:
+                    passing = row[0]
+                    out += [(None, None, *x) for x in held]
+                    held = []
+            yield batch_of(out)
+        yield batch_of(links())
+
+    return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, f"{PAIR}, {SITE_ROW}")
+
+
+def links_by_rare_shingles(rows: DataFrame) -> DataFrame:
+    """a, b: links between near sites (sig, component, node, part) of one signature and different components,
+    enough to join these, however many sites a signature has.
+
+    Sites meet by the rarest shingles of their passages (prefix), so a run that very many different texts
+    have brings only those together that share more. Sites of a shingle are dealt into blocks; those
+    outside the shingle's most frequent component go to all of its blocks and are compared with the sites
+    there. A task holds one block."""
+    long_enough = rows.where(F.octet_length("part") >= 8 * LENGTH)
+    one = checkpoint(long_enough.groupBy("sig", "component", "part").agg(F.min("node").alias("node")).withColumn("id", F.monotonically_increasing_id()))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [np.unique(np.frombuffer(p.as_py(), np.uint64)).view(np.int64) for p in batch.column("part")]
+            n = [len(k) for k in kinds]
+            columns = [pa.array(np.repeat(batch.column(c).to_numpy(), n), pa.int64()) for c in ("sig", "component", "id")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([np.zeros(0, np.int64), *kinds]))], names=["sig", "component", "id", "shingle"])
+
+    words = one.select("sig", "component", "id", "part").mapInArrow(spell, "sig long, component long, id long, shingle long")
+    held = words.groupBy("sig", "shingle").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
+    held = checkpoint(held.where("x != y").select("sig", "shingle", "n"))
+    rated = spread_join(words.select("sig", "id", "shingle"), held, ["sig", "shingle"]).groupBy("id").agg(F.collect_list(F.struct("shingle", "n")).alias("held"))  # at most a site's shingles
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[int]] = [[], [], [], []]
+            for sig, component, id_, part, counts in zip(*(batch.column(c).to_pylist() for c in ("sig", "component", "id", "part", "held")), strict=True):
+                for shingle in prefix(np.frombuffer(part, np.uint64), {x["shingle"]: x["n"] for x in counts}):
+                    for column, value in zip(out, (sig, component, id_, shingle), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["sig", "component", "id", "shingle"])
+
+    met = checkpoint(one.join(rated, "id").select("sig", "component", "id", "part", "held").mapInArrow(choose, "sig long, component long, id long, shingle long"))
+    key = ["sig", "shingle"]
+    per = met.groupBy(*key, "component").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("n"), F.count("*").alias("several"))
+    per = checkpoint(per.where("several > 1").select(*key, "main", "n"))
+    placed = spread_join(met, per, key).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    strays = placed.where("component != main").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("role", F.lit(1))
+    members = placed.withColumn("at", F.pmod(F.xxhash64("id"), "blocks")).withColumn("role", F.lit(0))
+    blocks = members.unionByName(strays).select(*key, "at", "role", "id").join(one.select("id", "component", "node", "part"), "id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members: list[tuple] = []
+        strays: list[tuple] = []
+        here = None
+
+        def links() -> list[tuple[int, int]]:
+            if not strays or not members:
+                return []
+            rows = list({row[0]: row for row in members + strays}.values())  # a stray is a member somewhere, too
+            component, node = (np.array([row[k] for row in rows], np.int64) for k in (1, 2))
+            return list(near_sites(component, node, [np.frombuffer(row[3], np.uint64) for row in rows]))
+
+        def batch_of(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for sig, shingle, at, role, *row in zip(*(batch.column(c).to_pylist() for c in (*key, "at", "role", "id", "component", "node", "part")), strict=True):
+                if here != (sig, shingle, at) or len(strays) >= BLOCK:
+                    out += links()
+                    strays = []
+                if here != (sig, shingle, at):
+                    here, members = (sig, shingle, at), []
+                (strays if role else members).append(tuple(row))
+            yield batch_of(out)
+        yield batch_of(links())
+
+    return blocks.repartition(*key, "at").sortWithinPartitions(*key, "at", "role").mapInArrow(compare, PAIR)
+
+
+def site_links(texts: DataFrame, unsettled: DataFrame, exact: DataFrame) -> DataFrame:
+    """a, b: links between near passages of different components at unsettled (sig, node, component, n,
+    pairs) sites, enough to join these; exact are the links that made the components.
+
+    Sites of a signature are compared in one task where they are not too many (near_sites). Texts of more
+    frequent signatures first meet by what an edit leaves of a passage (gapped_runs), which is linear and
+    settles most of them; sites that are in different components after that meet by their rarest shingles
+    and are compared in blocks. n is the number of a signature's texts, pairs how many pairs of different
+    components these make."""
+
+    def chosen(rows: DataFrame) -> DataFrame:
+        wanted = rows.groupBy("node").agg(F.min("component").alias("component"), F.collect_set("sig").alias("sigs"))  # at most a text's windows
+        return texts.join(wanted, "node").dropDuplicates(["node"]).select("node", "component", "text", "sigs")
 
     def gapped(text: str, sigs: list[int]) -> np.ndarray:
         keys = [gapped_runs(part, low, high) for _, part, low, high in sites(text, sigs)]
         return np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]))
 
     is_few = (F.col("n") <= TOGETHER) & (F.col("pairs") <= PAIRS)
-    few = chosen(unsettled.where(is_few)).mapInArrow(cut, "sig long, component long, node long, part binary, low int, high int")
-    compared = few.repartition("sig").sortWithinPartitions("sig").mapInArrow(compare, PAIR)
-    return compared.unionByName(linked(chosen(unsettled.where(~is_few)), gapped, "text", "sigs"))
+    compared = checkpoint(compared_sites(chosen(unsettled.where(is_few)).mapInArrow(cut_sites, SITE_ROW)))
+    links, many = compared.where("a IS NOT NULL").select("a", "b"), compared.where("a IS NULL").select(*SITE[:4])
+    frequent = unsettled.where(~is_few)
+    if frequent.isEmpty() and many.isEmpty():
+        return links
+    links = checkpoint(links.unionByName(linked(chosen(frequent), gapped, "text", "sigs")))
+    now = components(exact.unionByName(links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()).withColumnRenamed("component", "now")
+
+    def renewed(rows: DataFrame) -> DataFrame:
+        return rows.join(now, "node", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+
+    frequent = checkpoint(renewed(frequent.select("sig", "node", "component")))
+    apart = checkpoint(frequent.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x != y").select("sig", "n"))
+    open_ = spread_join(frequent, apart, ["sig"]).select("sig", "node", "component")
+    rows = chosen(open_).mapInArrow(cut_sites, SITE_ROW).select(*SITE[:4]).unionByName(renewed(many).select(*SITE[:4]))
+    return links.unionByName(links_by_rare_shingles(rows))
 
 
 def text_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -386,10 +529,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     Passages of LENGTH shingles of that similarity have COMMON equal shingles in a row, or in two runs with
     one edited word between them; either way a run of RUN shingles is equal. So texts meet by the signatures
-    of their compact windows for runs of that length. Where all runs of COMMON shingles have shared
-    signatures, their hashes link texts. What is left are sites of one signature in different components:
-    they are compared passage by passage, or meet by gapped runs where a signature is frequent. Links
-    go to the smallest text of each key, so classes need no all-pairs lists.
+    of their compact windows for runs of that length. Where all parts of a run of COMMON shingles have
+    shared signatures, its hash links texts. What is left are sites of one signature in different components:
+    they are compared passage by passage; where a signature is frequent, those that share a rare shingle,
+    in blocks. Links go to the smallest text of each key, so classes need no all-pairs lists.
 
     Nodes are different texts. Null, empty and short texts have no passages; equal texts share a class
     in any case. Null ids are passed over for class_id; repeated ids and rows are kept. An empty table
@@ -403,7 +546,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     held = placed.groupBy("sig", "component").agg(F.count("*").alias("n")).groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("alike"), F.count("*").alias("several"))
     per = checkpoint(held.where("several > 1").select("sig", "n", ((F.col("n").cast("double") * F.col("n") - F.col("alike")) / 2).alias("pairs")))
     unsettled = checkpoint(spread_join(placed, per, ["sig"]))
-    edges = checkpoint(exact.unionByName(one_gap_links(texts, unsettled)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
+    edges = checkpoint(exact.unionByName(site_links(texts, unsettled, exact)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
     classes = components(edges)
     degree = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     nodes = ids.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).join(classes, "node", "left").join(degree, "node", "left")

@@ -85,6 +85,41 @@ def test_groups_of_near_passages(spark, monkeypatch, together):
     assert len(links) > 100 and got == classes(links, [i for i, _ in docs])
 
 
+@pytest.mark.parametrize(("together", "block"), [(passages.TOGETHER, passages.BLOCK), (3, passages.BLOCK), (3, 4), (0, 3)])
+def test_frequent_signatures_find_what_the_comparison_finds(spark, monkeypatch, together, block):
+    """Passages with exchanged halves, repeated shingles and one line of all texts: the same classes as by
+    brute force, whether a signature's sites are compared in one task, passed on, or meet in blocks."""
+    rng = np.random.default_rng(31)
+    prose = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
+    a, b = prose(25), prose(25)
+    texts = [prose(6) + a + b + prose(5) for _ in range(6)] + [prose(4) + b + a + prose(7) for _ in range(6)]
+    c = [prose(26) for _ in range(4)]  # halves of one line in common, other halves of few texts, in either order
+    line = prose(26)
+    texts += [prose(3) + (line + c[i % 4] if i % 3 else c[i % 4] + line) + prose(i % 5) for i in range(24)]
+    texts += [prose(20) + line + prose(20) for _ in range(30)]  # the line alone links nothing
+    phrase = prose(9)
+    texts += [phrase * 7 + prose(12), prose(4) + phrase * 6 + phrase[:4], (phrase + prose(1)) * 7, phrase[3:] + phrase[:3] + phrase * 5]
+    long_ = [prose(int(n)) for n in rng.integers(8, 30, 8)]  # texts that have the line at many places
+    texts += [sum((line + x for x in long_[i:]), []) for i in (0, 3)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    monkeypatch.setattr(passages, "TOGETHER", together)
+    monkeypatch.setattr(passages, "BLOCK", block)
+    got = {r["doc_id"]: r["class_id"] for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = classes(plain_links(docs), [i for i, _ in docs])
+    assert got == want and len({want[i] for i in range(12)}) == 1 and want[40] == 40
+
+
+def test_prefixes_of_near_passages_meet():
+    rng = np.random.default_rng(13)
+    for _ in range(200):
+        x = rng.integers(0, int(rng.integers(20, 90)), int(rng.integers(46, 70))).astype(np.uint64)
+        y = x.copy()
+        y[rng.integers(0, len(y), 4)] = rng.integers(0, 90, 4)
+        held = {int(k): int(rng.integers(1, 4)) for k in np.unique(np.concatenate([x, y])) if k in x and k in y}
+        if passages.near(x, y):
+            assert set(passages.prefix(x, held)) & set(passages.prefix(y, held))
+
+
 def test_equal_passages_of_groups_are_all_linked(spark):
     """Texts that share one half of a passage with many, and the whole with few."""
     word = lambda i, n: [f"w{i}x{j}" for j in range(n)]
