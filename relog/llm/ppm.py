@@ -20,6 +20,10 @@ ORDER = 5
 MAX_BRANCHES = 4_000_000
 #: Bound of the frequent words that tasks look up themselves; all others meet their counts in a join.
 MAX_WORDS = 262_144
+#: Bytes that tasks hold for each of these words, on average; longer ones make it fewer words.
+WORD_BYTES = 32
+#: Bytes of different words that a task holds before it sends their counts on, but for one text's words.
+HELD_BYTES = 1 << 25
 FOLDS, HELD_OUT = 7, 2
 #: Stands before and after every text; never a byte of UTF-8.
 EDGE = 0xFF
@@ -131,6 +135,7 @@ def count_words(training: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+        size = 0  # bytes of texts counted since the last rows
 
         def out() -> Iterator[pa.RecordBatch]:
             words, n = list(held), list(held.values())
@@ -139,8 +144,14 @@ def count_words(training: DataFrame) -> DataFrame:
 
         for batch in batches:
             for t in batch.column("text"):
-                held.update(lowered(t.as_py()).split())
-                if len(held) > 500_000:
+                text = lowered(t.as_py())
+                held.update(text.split())
+                size += len(text)
+                if size > HELD_BYTES:
+                    full, size = sum(map(len, held)) > HELD_BYTES, 0
+                else:
+                    full = len(held) > 500_000
+                if full:
                     yield from out()
                     held.clear()
         yield from out()
@@ -190,7 +201,13 @@ class Trie:
         first = checkpoint(grams_.join(seen, "gram", "left"))
         orders = F.explode(F.sequence(F.lit(0), F.lit(o))).alias("j")
         steps = first.where("value is null").select("gram", orders).select("gram", "j", gram.bitwiseAND(low("j + 1")).alias("key"), F.shiftrightunsigned(gram, 8).bitwiseAND(low("j")).alias("context"))
-        met = steps.join(self.branches, ["j", "key"], "left").join(self.nodes, ["j", "context"], "left")
+
+        def meet(rows: DataFrame, branches: DataFrame, nodes: DataFrame) -> DataFrame:
+            return rows.join(branches, ["j", "key"], "left").join(nodes, ["j", "context"], "left")
+
+        # all grams share the context of order 0, and many one of order 1: at most 256 * 257 branches, 257 nodes
+        short = meet(steps.where("j <= 1"), F.broadcast(self.branches.where("j <= 1")), F.broadcast(self.nodes.where("j <= 1")))
+        met = short.unionByName(meet(steps.where("j > 1"), self.branches.where("j > 1"), self.nodes.where("j > 1")))
         down = F.sort_array(F.collect_list(F.struct((-F.col("j")).alias("up"), "n", "total", "kinds", "left", "kinds_left")))
 
         def step(acc: Column, x: Column) -> Column:
@@ -246,7 +263,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_branches: int = MAX_BRA
     documents outside the held-out fold; null ids are in no fold's held-out part.
 
     Tasks look up the scores of at most max_branches frequent branches and the counts of at most max_words
-    frequent words. A document's other branches and words leave as different ones with their numbers, and meet
+    frequent words of WORD_BYTES on average. A document's other branches and words leave as different ones with their numbers, and meet
     the trie's tables and the counts in joins; both bounds change no result. Null texts are empty: one
     token, the end. Repeated ids and rows are all scored. An empty table gives an empty result."""
     spark = docs.sparkSession
@@ -256,7 +273,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_branches: int = MAX_BRA
     kinds, tokens = words.agg(F.count("*"), F.sum("n")).first()
     ends = training.count()
     n_train, n_kinds = (tokens or 0) + ends, kinds + (ends > 0)
-    least = threshold(words, "n", F.lit(1), max_words)
+    least = max(threshold(words, "n", F.lit(1), max_words), threshold(words, "n", F.octet_length("word"), WORD_BYTES * max_words))
     got = words.where(F.col("n") >= least).toArrow()
     frequent = dict(zip(got.column("word").to_pylist(), got.column("n").to_pylist(), strict=True))
     trie = train_trie(training, order, max_branches)
