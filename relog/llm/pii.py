@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_key, text_of
+from .common import checkpoint, spread_join, text_key, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns, with possessive loops (nothing after them could take back what they match)
@@ -27,14 +27,19 @@ APART = r"[^\p{L}]+"
 #: information content, in at least SUPPORT different texts.
 DISCLOSURE = 0.9
 SUPPORT = 3
+#: Matches whose places are summed up in one run.
+STEP = 256
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
 def located(text: Column, pattern: str | Column, kind: str) -> Column:
-    """Array of SPAN for all matches: what split leaves between the matches gives their places."""
+    """Array of SPAN for all matches: what split leaves between the matches gives their places.
+
+    Matches are numbered on in runs of STEP, so that no long array is copied for each match."""
     pattern = F.lit(pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     pairs = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
+    empty = F.array().cast(f"array<{SPAN}>")
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["pos"] + p["gap"]
@@ -42,8 +47,16 @@ def located(text: Column, pattern: str | Column, kind: str) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), p["m"].alias("value"))
         return F.struct(end.alias("pos"), F.when(p["m"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
 
-    empty = F.array().cast(f"array<{SPAN}>")
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), empty.alias("spans")), step, lambda acc: acc["spans"])
+    def placed(every: Column) -> Column:
+        def run(acc: Column, i: Column) -> Column:
+            begin = F.struct(F.element_at(acc, -1)["pos"].alias("pos"), empty.alias("spans"))
+            return F.concat(acc, F.array(F.aggregate(F.slice(every, i * STEP + 1, F.lit(STEP)), begin, step)))
+
+        first = F.array(F.struct(F.lit(0).alias("pos"), empty.alias("spans")))
+        last = F.floor((F.size(every) - 1) / STEP).cast("int")
+        return F.aggregate(F.sequence(F.lit(0), last), first, run, lambda acc: F.flatten(F.transform(acc, lambda x: x["spans"])))
+
+    return F.element_at(F.transform(F.array(pairs), placed), 1)  # an array of one: pairs are made once
 
 
 def luhn(digits: Column) -> Column:
@@ -106,21 +119,29 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     docs: all texts (t), for the corpus counts of terms. found: (k1, k2, k3, t, base) of documents with
     entities. A term goes with each entity of the same text, however far apart. All counts are numbers of
     whole documents; a pair's support counts different texts, so copies of one text alone never make a term
-    disclosing."""
+    disclosing. Before entities and terms meet, those go that can be in no disclosing pair: entities and terms
+    of fewer than SUPPORT texts, and terms too frequent for the entity."""
     n = docs.count()
     keys = ["k1", "k2", "k3"]
     lower = F.filter(F.array_distinct(F.transform(forms(F.col("t")), F.lower)), lambda x: x != "").alias("terms")
     each = checkpoint(found.select(*keys, entities_of(F.col("base")).alias("entities"), lower).groupBy(*keys, "entities", "terms").agg(F.count("*").alias("copies")))
-    held = each.select(*keys, "copies", "terms", F.explode("entities").alias("entity"))
-    rows = held.select(*keys, "copies", "entity", F.explode("terms").alias("term"))
-    pairs = rows.groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
-    entities = held.groupBy("entity").agg(F.sum("copies").alias("with_entity"))
-    terms = docs.select(F.explode(F.array_distinct(F.transform(forms(F.col("t")), F.lower))).alias("term")).where(F.col("term") != "").groupBy("term").agg(F.count("*").alias("with_term"))
-    known = pairs.join(entities, "entity").join(terms, "term")
+    held = each.select(*keys, "copies", F.explode("entities").alias("entity"))
+    words = each.select(*keys, F.explode("terms").alias("term"))
+    entities = held.groupBy("entity").agg(F.sum("copies").alias("with_entity"), F.count("*").alias("n"))
+    entities = checkpoint(entities.where((F.col("n") >= SUPPORT) & (F.col("with_entity") < n)))  # others have no content or no support
+    # what a term's count may be: pmi >= DISCLOSURE * content, and a pair is no more frequent than its entity
+    limit = F.pow("with_entity", F.lit(DISCLOSURE)) * float(max(n, 1)) ** (1 - DISCLOSURE) * (1 + 1e-6)
+    most = entities.agg(F.max(limit)).first()[0] or 0.0
+    terms = docs.select(F.explode(F.array_distinct(F.transform(forms(F.col("t")), F.lower))).alias("term")).where(F.col("term") != "").groupBy("term").agg(F.count("*").alias("with_term")).where(F.col("with_term").between(SUPPORT, most))
+    own = checkpoint(words.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).join(terms, "term"))
+    named = spread_join(held, entities, ["entity"]).drop("n")
+    rows = named.join(spread_join(words, own, ["term"]).drop("n"), keys).where(F.col("with_term") <= limit)
+    pairs = rows.groupBy("entity", "term", "with_entity", "with_term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
     content = F.log2(F.lit(float(n)) / F.col("with_entity"))
     pmi = F.log2(F.col("both") * F.lit(float(n)) / (F.col("with_entity") * F.col("with_term")))
-    disclosing = checkpoint(known.where((content > 0) & (pmi >= DISCLOSURE * content)).select("entity", "term"))
-    return rows.join(disclosing, ["entity", "term"]).groupBy(*keys).agg(F.collect_set("term").alias("terms"))
+    disclosing = checkpoint(pairs.where((content > 0) & (pmi >= DISCLOSURE * content)).select("entity", "term"))
+    told = named.select(*keys, "entity").join(disclosing, "entity").select(*keys, "term").distinct()
+    return told.join(words, [*keys, "term"], "left_semi").groupBy(*keys).agg(F.collect_set("term").alias("terms"))
 
 
 def keyed(docs: DataFrame, *keep: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Plain versions of the operators' contracts, for comparison."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -95,3 +97,26 @@ def nearest(vectors, query, k=20):
     ok = [(i, np.asarray(v, dtype=np.float64)) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     q = dict(ok)[query]
     return sorted(((float(q @ v), i) for i, v in ok if i != query), key=lambda x: (-x[0], x[1]))[:k]
+
+
+def all_spans(texts, disclosure=0.9, support=3):
+    """For each text its base spans and, after them, those of terms that disclose an entity of it."""
+    texts = [t or "" for t in texts]
+    base = [base_spans(t) for t in texts]
+    entities = [{t[a:b].lower() for _, a, b in spans} for t, spans in zip(texts, base, strict=True)]
+    terms = [{w.lower() for w in re.findall(r"[^\W\d_]+", t)} for t in texts]
+    count = lambda sets: Counter(x for s in sets for x in s)
+    with_entity, with_term, n = count(entities), count(terms), len(texts)
+    both = Counter((e, w) for es, ws in zip(entities, terms, strict=True) for e in es for w in ws)
+    different = Counter((e, w) for _, es, ws in {(t, frozenset(es), frozenset(ws)) for t, es, ws in zip(texts, entities, terms, strict=True)} for e in es for w in ws)
+    told = set()
+    for (e, w), c in both.items():
+        content = math.log2(n / with_entity[e])
+        if different[e, w] >= support and content > 0 and math.log2(c * n / (with_entity[e] * with_term[w])) >= disclosure * content:
+            told.add((e, w))
+    out = []
+    for t, spans, es in zip(texts, base, entities, strict=True):
+        own = {w for e, w in told if e in es}
+        more = [("term", *m.span()) for m in re.finditer(r"[^\W\d_]+", t) if m[0].lower() in own]
+        out.append(spans + [x for x in more if not any(a < x[2] and b > x[1] for _, a, b in spans)])
+    return out

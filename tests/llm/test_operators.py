@@ -638,3 +638,22 @@ def test_terms_far_from_their_entity_disclose_it(spark):
     assert all(not spans[d] for d in range(100, 140))
     out = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
     assert out[0].startswith("Headline by [TERM] 0.") and out[0].endswith("Signed: [TERM], not Leeward.") and "[EMAIL]" in out[0] and out[100] == text[100]
+
+
+def test_terms_and_spans_against_all_pairs(spark):
+    """Entities of one text and of many, frequent and rare terms, copies, and more matches than one run numbers."""
+    rng = np.random.default_rng(17)
+    people = [f"p{i}@mail{i}.org" for i in range(25)]
+    names = [f"Name{chr(97 + i)}" for i in range(25)]
+    prose = lambda n: [f"w{chr(97 + x // 26 % 26)}{chr(97 + x % 26)}" for x in rng.zipf(1.4, n) % 600]
+    texts = []
+    for i in range(160):
+        who = rng.integers(0, 25, int(rng.integers(0, 4)))
+        parts = prose(int(rng.integers(5, 40))) + [people[k] for k in who] + [names[k] for k in who if rng.random() < 0.9] + [f"only{i}@once.net"] * (i % 5 == 0)
+        texts.append(" ".join(rng.permutation(parts)))
+    texts += texts[:20] + [None, "", " ".join(f"a{i}@many.org {names[0]} {people[0]}" for i in range(700))]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute.all_spans(texts)
+    assert got == {i: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(w, key=lambda x: (x[0] == "term", ["email", "ip", "card", "phone", "term"].index(x[0]), x[1]))) for i, w in enumerate(want)}
+    assert sum(k == "term" for w in want for k, *_ in w) > 100
