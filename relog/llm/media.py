@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, spread_join
 
 #: A payload is cut into tiles of 24 x 24 samples of 8 bits.
 SIDE = 24
@@ -107,9 +107,12 @@ def interleaved(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
 def resolved(sequences: DataFrame, payloads: DataFrame, key: str) -> DataFrame:
     """key, position, digest, caption and the payload's columns for each media reference: an equi-join by
     digest of references (sha256:...) with payloads (digest, ...; one row a digest). References without
-    a payload keep their place with null columns."""
-    refs = sequences.select(key, F.explode("items").alias("item")).where(F.col("item.kind") == "media")
-    return refs.select(key, "item.position", F.regexp_replace("item.media", "^sha256:", "").alias("digest"), "item.caption").join(payloads, "digest", "left")
+    a payload keep their place with null columns. References to a payload that many documents share stay
+    in their tasks."""
+    refs = sequences.select(key, F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("item"))
+    refs = checkpoint(refs.select(key, "item.position", F.regexp_replace("item.media", "^sha256:", "").alias("digest"), "item.caption"))
+    shared = checkpoint(refs.groupBy("digest").agg(F.count("*").alias("n_refs")).join(payloads, "digest", "left"))
+    return spread_join(refs, shared, ["digest"], "n_refs").drop("n_refs")
 
 
 def png_chunk(kind: bytes, data: bytes) -> bytes:
@@ -162,23 +165,40 @@ def stored_media(docs: DataFrame) -> DataFrame:
     """digest, media: the stored image of every text of docs (doc_id, text), written to reliable storage and
     read back. Images stay in their tasks: one that a task has written lately is not written again, but
     equal texts of different tasks have a row each, with equal bytes."""
+    return images_of(documents_with_images(docs))
 
-    def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def images_of(sequences: DataFrame) -> DataFrame:
+    return sequences.where(F.col("k.media").isNotNull()).select("k.digest", "k.media")
+
+
+def documents_with_images(docs: DataFrame) -> DataFrame:
+    """k (doc_id, n_bytes, digest, media), items of docs (doc_id, text), in reliable storage: every text's
+    image is made once, and its sequence is parsed in the same pass. Of items only what joins and counts need
+    is kept, without texts. media is null where the task has written the same image lately."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names = ["doc_id", "n_bytes", "digest", "media"]
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
         for batch in batches:
-            digests, media = [], []
+            sizes, digests, media, html = [], [], [], []
             for t in batch.column("text"):
-                m = store(padded(t.as_py())[1])
+                n, payload = padded(t.as_py())
+                m = store(payload)
                 digest = hashlib.sha256(m).hexdigest()
-                if digest not in seen:
-                    if len(seen) > SEEN:
-                        seen.clear()
-                    seen.add(digest)
-                    digests.append(digest)
-                    media.append(m)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
+                sizes.append(n)
+                digests.append(digest)
+                media.append(None if digest in seen else m)
+                html.append(page(t.as_py() or "", n, digest))
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.add(digest)
+            k = pa.StructArray.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([k, pa.array(html, pa.string())], names=["k", "html"])
 
-    return checkpoint(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(images, "digest string, media binary"))
+    sequences = interleaved(texts.mapInArrow(pages, "k struct<doc_id:bigint,n_bytes:bigint,digest:string,media:binary>, html string"), "k", "html")
+    return checkpoint(sequences.select("k", F.transform("items", lambda x: x.dropFields("text")).alias("items")))
 
 
 def described(stored: DataFrame) -> DataFrame:
@@ -218,16 +238,6 @@ def document_media(docs: DataFrame) -> DataFrame:
     image's stored bytes (stored_media) in a join by digest. Only digests and features are shuffled, never
     payloads. A text without words gives no text items. Null texts are empty (one tile of padding); null or
     repeated ids and repeated rows are kept; an empty table gives an empty result."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for t in batch.column("text"):
-                n, payload = padded(t.as_py())
-                rows.append((n, page(t.as_py() or "", n, hashlib.sha256(store(payload)).hexdigest())))
-            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64())], names=["doc_id", "n_bytes"]), pa.array([r[1] for r in rows], pa.string())], names=["k", "html"])
-
-    sequences = interleaved(texts.mapInArrow(pages, "k struct<doc_id:bigint,n_bytes:bigint>, html string"), "k", "html")
+    sequences = documents_with_images(docs)
     sized = sequences.select(F.struct("k.doc_id", "k.n_bytes", F.size("items").alias("n_items")).alias("k"), "items")
-    return resolved(sized, described(stored_media(texts)), "k").select("k.doc_id", "k.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "k.n_items")
+    return resolved(sized, described(images_of(sequences)), "k").select("k.doc_id", "k.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "k.n_items")
