@@ -29,34 +29,46 @@ DISCLOSURE = 0.9
 SUPPORT = 3
 #: Matches whose places are summed up in one run.
 STEP = 256
+#: Characters of a piece of a text that is rewritten.
+CUT = 4096
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
-def located(text: Column, pattern: str | Column, kind: str) -> Column:
-    """Array of SPAN for all matches: what split leaves between the matches gives their places.
+def scanned(every: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """Array of kind: what step(value so far, element) gives for each element, beside the next value.
+
+    Elements are taken in runs of STEP, so that no long array is copied for each of them."""
+    empty = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        value, out = step(acc["value"], x)
+        return F.struct(value.alias("value"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    def scan(xs: Column) -> Column:
+        def run(acc: Column, i: Column) -> Column:
+            begin = F.struct(F.element_at(acc, -1)["value"].alias("value"), empty.alias("out"))
+            return F.concat(acc, F.array(F.aggregate(F.slice(xs, i * STEP + 1, F.lit(STEP)), begin, one)))
 
-    Matches are numbered on in runs of STEP, so that no long array is copied for each match."""
+        first = F.array(F.struct(zero.alias("value"), empty.alias("out")))
+        last = F.floor((F.size(xs) - 1) / STEP).cast("int")
+        runs = F.when(F.size(xs) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(runs, first, run, lambda acc: F.flatten(F.transform(acc, lambda x: x["out"])))
+
+    return F.element_at(F.transform(F.array(every), scan), 1)  # an array of one: elements are made once
+
+
+def located(text: Column, pattern: str | Column, kind: str) -> Column:
+    """Array of SPAN for all matches: what split leaves between the matches gives their places."""
     pattern = F.lit(pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     pairs = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
-    empty = F.array().cast(f"array<{SPAN}>")
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["pos"] + p["gap"]
+    def step(pos: Column, p: Column) -> tuple[Column, Column]:
+        start = pos + p["gap"]
         end = start + F.coalesce(F.length(p["m"]), F.lit(0))
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), p["m"].alias("value"))
-        return F.struct(end.alias("pos"), F.when(p["m"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
-
-    def placed(every: Column) -> Column:
-        def run(acc: Column, i: Column) -> Column:
-            begin = F.struct(F.element_at(acc, -1)["pos"].alias("pos"), empty.alias("spans"))
-            return F.concat(acc, F.array(F.aggregate(F.slice(every, i * STEP + 1, F.lit(STEP)), begin, step)))
+        return end, F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), p["m"].alias("value"))
 
-        first = F.array(F.struct(F.lit(0).alias("pos"), empty.alias("spans")))
-        last = F.floor((F.size(every) - 1) / STEP).cast("int")
-        return F.aggregate(F.sequence(F.lit(0), last), first, run, lambda acc: F.flatten(F.transform(acc, lambda x: x["spans"])))
-
-    return F.element_at(F.transform(F.array(pairs), placed), 1)  # an array of one: pairs are made once
+    return F.filter(scanned(pairs, F.lit(0), step, SPAN), lambda s: s["value"].isNotNull())  # null: after the last match
 
 
 def luhn(digits: Column) -> Column:
@@ -164,15 +176,28 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def rewritten(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; spans that overlap become one."""
-
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["pos"]
-        gap = F.substring(text, acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0)))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(apart, F.concat(acc["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"]).alias("out"))
+    """The text with each span replaced by its kind in brackets; spans that overlap become one.
 
+    The text is cut into pieces of CUT characters once, so that what stands between two spans is found
+    without counting characters from the text's begin: time is linear in the text and in its spans."""
     ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return F.aggregate(ordered, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+    stop = F.struct(F.length(text).alias("start"), F.length(text).alias("end"), F.lit(None).cast("string").alias("kind"))  # after all spans
+
+    def step(pos: Column, s: Column) -> tuple[Column, Column]:
+        return F.greatest(pos, s["end"]), F.struct(pos.alias("pos"), s["start"].alias("start"), s["kind"].alias("kind"))
+
+    def between(pieces: Column, x: Column) -> Column:
+        first = F.floor(x["pos"] / CUT).cast("int")
+        n = F.floor(x["start"] / CUT).cast("int") - first + 1
+        return F.substring(F.array_join(F.slice(pieces, first + 1, n), ""), x["pos"] - first * CUT + 1, x["start"] - x["pos"])
+
+    def out(pieces: Column, gaps: Column) -> Column:
+        apart = F.filter(gaps, lambda x: x["start"] >= x["pos"])
+        return F.array_join(F.transform(apart, lambda x: F.concat(between(pieces, x), F.when(x["kind"].isNull(), "").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))), "")
+
+    gaps = scanned(F.concat(ordered, F.array(stop)), F.lit(0), step, "struct<pos:int,start:int,kind:string>")
+    made = F.array(F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)).alias("pieces"), gaps.alias("gaps")))
+    return F.element_at(F.transform(made, lambda m: out(m["pieces"], m["gaps"])), 1)
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
