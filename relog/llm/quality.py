@@ -16,6 +16,8 @@ from .common import checkpoint, crc_mod, n_words, text_of
 
 #: Words in a passage.
 PASSAGE = 64
+#: Passages of a text that are encoded at a time.
+SLICE = 2048
 #: Bounds of the labelled training sample: the documents with the smallest hashes of doc_id, so many and
 #: with so many passages together.
 TRAIN_ROWS, TRAIN_PASSAGES = 6000, 40_000
@@ -42,25 +44,44 @@ def encode_passages(text: str) -> np.ndarray:
     trigrams, of words and of pairs of words have of the passage, then its length and the shares of different
     words and of words that repeat the one before. What they mean is learned. Roots let a weighted sum tell
     a passage of many kinds from one of few. A text without words is one passage of zeros."""
+    return np.concatenate(list(encode_slices(text)))
+
+
+def encode_slices(text: str, passages: int = SLICE) -> Iterator[np.ndarray]:
+    """The rows of encode_passages, so many passages at a time: memory beside the text and its words' places
+    is that of one slice."""
     b = np.frombuffer(text.encode(), np.uint8)
     solid = ~SPACES[b]
-    begins = solid & np.concatenate([[True], ~solid[:-1]]) if len(b) else solid
-    starts = np.flatnonzero(begins)
+    starts = np.flatnonzero(solid & np.concatenate([[True], ~solid[:-1]])) if len(b) else np.zeros(0, np.int64)
     if not len(starts):
-        return np.zeros((1, FEATURES), np.float32)
+        yield np.zeros((1, FEATURES), np.float32)
+        return
+    before = None  # hash of the word before the slice
+    for w in range(0, len(starts), passages * PASSAGE):
+        own = starts[w : w + passages * PASSAGE]
+        begin = own[0] if w else 0
+        end = starts[w + passages * PASSAGE] if w + passages * PASSAGE < len(starts) else len(b)
+        context = min(2, begin)  # bytes that the first trigrams reach back
+        rows, before = _encoded(b[begin - context : end], context, own - begin, before)
+        yield rows
+
+
+def _encoded(b: np.ndarray, context: int, starts: np.ndarray, before: np.uint64 | None) -> tuple[np.ndarray, np.uint64]:
+    """Rows of the passages of bytes b but for the first `context` ones, with words from starts on, and the last word's hash."""
     first = starts[::PASSAGE]
     p = len(first)
-    sizes = np.diff(np.concatenate([[0], first[1:], [len(b)]]))
     gram = np.zeros(len(b), np.uint64)
     for back in range(3):
         gram[back:] += _MIX[b[: len(b) - back]] * np.uint64(2 * back + 1)
+    gram, b = gram[context:], b[context:]
+    sizes = np.diff(np.concatenate([[0], first[1:], [len(b)]]))
     counts = np.bincount(np.repeat(np.arange(p) * GRAMS, sizes) + _bucket(gram, GRAMS), minlength=p * GRAMS).reshape(p, GRAMS)
-    word = np.maximum(np.cumsum(begins) - 1, 0)
+    word = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([[0], starts[1:], [len(b)]])))
     place = (np.arange(len(b)) - starts[word]).astype(np.uint64)
-    hashes = np.add.reduceat(np.where(solid, _MIX[b] * (place * np.uint64(2) + np.uint64(1)), 0), starts)
+    hashes = np.add.reduceat(np.where(~SPACES[b], _MIX[b] * (place * np.uint64(2) + np.uint64(1)), 0), starts)
     own = np.arange(len(hashes)) // PASSAGE
     words = np.bincount(own * WORDS + _bucket(hashes, WORDS), minlength=p * WORDS).reshape(p, WORDS)
-    two = hashes + np.concatenate([hashes[:1], hashes[:-1]]) * np.uint64(3)
+    two = hashes + np.concatenate([hashes[:1] if before is None else [before], hashes[:-1]]) * np.uint64(3)
     pairs = np.bincount(own * PAIRS + _bucket(two, PAIRS), minlength=p * PAIRS).reshape(p, PAIRS)
     shares = [x / np.maximum(x.sum(axis=1, keepdims=True), 1) for x in (counts, words, pairs)]
     at = np.arange(0, len(hashes), PASSAGE)
@@ -69,7 +90,7 @@ def encode_passages(text: str) -> np.ndarray:
     fresh = np.concatenate([[True], (hashes[by][1:] != hashes[by][:-1]) | (own[1:] != own[:-1])])
     again = np.concatenate([[False], (hashes[1:] == hashes[:-1]) & (own[1:] == own[:-1])])
     shape = [np.log1p(held) / 4, np.add.reduceat(fresh, at, dtype=np.int64) / held, np.add.reduceat(again, at, dtype=np.int64) / held]
-    return np.column_stack([np.sqrt(np.concatenate(shares, axis=1)), *shape]).astype(np.float32)
+    return np.column_stack([np.sqrt(np.concatenate(shares, axis=1)), *shape]).astype(np.float32), hashes[-1]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -84,18 +105,33 @@ class AttentionModel:
     scale: np.ndarray
     w: dict[str, np.ndarray]
 
-    def forward(self, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
-        """x: passages of all documents, one after the other; first: where each document begins."""
-        w, size = self.w, np.diff(np.append(first, len(x)))
+    def encoded(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of passages x: standardised features, hidden values, both gates, and the attention before its softmax."""
+        w = self.w
         x = (x - self.mean) / self.scale
         h = np.tanh(x @ w["e"] + w["eb"])
         v, u = np.tanh(h @ w["v"]), _sigmoid(h @ w["u"])
-        s = (v * u) @ w["a"]
+        return x, h, v, u, (v * u) @ w["a"]
+
+    def forward(self, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+        """x: passages of all documents, one after the other; first: where each document begins."""
+        w, size = self.w, np.diff(np.append(first, len(x)))
+        x, h, v, u, s = self.encoded(x)
         s = np.exp(s - np.repeat(np.maximum.reduceat(s, first), size))
         a = s / np.repeat(np.add.reduceat(s, first), size)
         z = np.add.reduceat(a[:, None] * h, first)
         return {"x": x, "h": h, "v": v, "u": u, "a": a, "z": z, "p": _sigmoid(z @ w["c"] + w["cb"][0]), "size": size}
 
+    def score(self, text: str, passages: int = SLICE) -> float:
+        """The score of a text as forward gives it, with its attention summed up slice by slice."""
+        top, total, z = -np.inf, 0.0, np.zeros(HIDDEN)
+        for x in encode_slices(text, passages):
+            _, h, _, _, s = self.encoded(x)
+            new = max(top, s.max())
+            e, kept = np.exp(s - new), np.exp(top - new)
+            top, total, z = new, total * kept + e.sum(), z * kept + e @ h
+        return float(_sigmoid(z / total @ self.w["c"] + self.w["cb"][0]))
+
     def gradients(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         w, o = self.w, self.forward(x, first)
         g = (o["p"] - y) / len(y)
@@ -190,7 +226,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [float(model.forward(encode_passages(t.as_py() or ""), np.zeros(1, np.int64))["p"][0]) for t in batch.column("text")]
+            scores = [model.score(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= CUT) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -204,6 +240,6 @@ def good_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([float(model.forward(encode_passages(t.as_py() or ""), np.zeros(1, np.int64))["p"][0]) >= CUT for t in batch.column("text")], pa.bool_()))
+            yield batch.filter(pa.array([model.score(t.as_py() or "") >= CUT for t in batch.column("text")], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
