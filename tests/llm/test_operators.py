@@ -553,9 +553,50 @@ def test_empty_tables_of_the_others(none, spark, labels):
     assert ann.neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-@pytest.mark.parametrize("f", [passages.repeated_passages, simhash.one_of_each, pii.sanitised, mixing.mixed_documents], ids=lambda f: f.__name__)
-def test_awkward_rows_pass(f, odd):
-    assert f(odd).count() > 0
+def test_groups_of_awkward_rows(odd):
+    """Wordless texts are one group; texts of fewer than five words group as whole sequences."""
+    rows = pairs(odd)
+    shingles = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := brute.words((t or "").lower())) else frozenset() for _, t in rows]
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    rank = [(d is None, d or 0) for d, _ in rows]
+    kept = Counter(rows[i][0] for i in range(len(rows)) if rank[i] == min(rank[j] for j in range(len(rows)) if alike(shingles[i], shingles[j])))
+    assert Counter(r["doc_id"] for r in simhash.one_of_each(odd).collect()) == Counter(dict.fromkeys(kept, 1))
+
+
+def test_passages_of_awkward_rows(odd):
+    """Equal texts and near passages share the smallest id; rows without an id come with their class."""
+    rows = pairs(odd)
+    story = min(d for d, t in rows if t and t.lower().startswith("word0 and then word1"))
+    got = multiset(passages.repeated_passages(odd).select("doc_id", "class_id").collect())
+    own = {}
+    for d, t in rows:
+        if d is not None:
+            own[t or ""] = min(d, own.get(t or "", d))
+    want = Counter()
+    for d, t in rows:
+        want[d, story if t and t.lower().startswith("word0 and then word1") else own.get(t or "")] += 1
+    assert Counter({k: n for k, n in got.items() if k[0] is not None}) == Counter({k: n for k, n in want.items() if k[0] is not None})
+    assert sum(n for (d, _), n in got.items() if d is None) == 2
+
+
+def test_sanitised_awkward_rows(odd):
+    rows = odd.select("doc_id", "text", "lang", "source").collect()
+    want = Counter()
+    for (d, t, lang, source), spans in zip(rows, brute.all_spans([r["text"] for r in rows]), strict=True):
+        for kind, a, b in sorted(spans, key=lambda x: -x[1]):
+            t = f"{t[:a]}[{kind.upper()}]{t[b:]}"
+        want[d, t, lang, source] += 1
+    assert multiset(pii.sanitised(odd).select("doc_id", "text", "lang", "source").collect()) == want
+
+
+def test_mixed_awkward_rows_have_the_words_taken(odd):
+    counted, taken = Counter(), Counter()
+    for r in mixing.mixed_documents(odd).collect():
+        counted[r["doc_id"]] += len(brute.words(r["text"]))
+        assert r["n_chars"] == len(r["text"])
+    for r in mixing.mix_taken(odd).collect():
+        taken[r["doc_id"]] += r["taken"]
+    assert counted == +taken and set(taken) == {d for d, _ in pairs(odd)}
 
 
 def test_neighbours_ties_go_to_smaller_ids(spark, monkeypatch):
