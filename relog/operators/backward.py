@@ -27,7 +27,7 @@ def stretch(changes: DataFrame, n_columns: list[str]) -> DataFrame:
     last = lambda v: F.max(F.when(F.col(v).isNotNull(), F.struct(seq.alias("seq"), F.col(f"{v}.v").alias("v")))).alias(v)
     found = reliable(
         incarnations(events)
-        .groupBy(*key, "pk", "inc")
+        .groupBy("pk", *reversed(key), "inc")
         .agg(
             F.min(F.when(kind == START, seq)).alias("start_seq"),
             F.min(F.when(kind == END, seq)).alias("end_seq"),

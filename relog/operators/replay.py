@@ -55,7 +55,7 @@ def segments(events: DataFrame, columns: list[str]) -> DataFrame:
     ]
     for i in range(len(columns)):
         aggregates.append(F.max(F.when(F.col(f"v{i}").isNotNull(), F.struct(seq.alias("seq"), F.col(f"v{i}.v").alias("v")))).alias(f"v{i}"))
-    return events.groupBy("db", "tbl", "pk", "inc").agg(*aggregates)
+    return events.groupBy("pk", "tbl", "db", "inc").agg(*aggregates)
 
 
 def chain_roots(links: DataFrame) -> DataFrame:
