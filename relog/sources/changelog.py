@@ -7,6 +7,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from relog.sources.files import LOG_NAME, Folder, complete_log
 
 #: Names of the files that Spark's tasks write.
 PART_NAME = re.compile(r"^part-([0-9]+)")
+#: Tables whose first inserts are looked for by a filter that lists their places.
+LISTED_TABLES = 50
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -182,13 +185,19 @@ class TableSchema:
 def schemas(changes: DataFrame) -> DataFrame:
     """db, tbl, cols (name, type, is_pk, in order) of every table, from its first insert.
 
-    The first insert is found by numbers alone, first of each split, then of all; the columns are built for
-    that line only, as the semi-join with one row a table goes below them."""
+    The first insert is found by numbers alone, first of each split, then of all. One row a table tells where it is;
+    for up to LISTED_TABLES of them that is a filter on the lines' places, below where lines are taken apart, and
+    else a semi-join above."""
     about = F.transform("cols", lambda c: F.struct(c["name"].alias("name"), c["type"].alias("type"), c["is_pk"].alias("is_pk")))
     inserts = changes.where((F.col("op") == L.INSERT) & F.col("new_pk").isNotNull())
     table, file, block, rid = ["db", "tbl"], F.col("seq.file_no").alias("file"), F.col("seq.block_start").alias("block"), F.col("seq.rid")
     of_split = inserts.select(*table, file, block, rid.alias("rid")).groupBy(*table, "file", "block").agg(F.min("rid").alias("rid"))
     first = of_split.groupBy(*table).agg(F.min(F.struct("file", "block", "rid")).alias("at")).select(F.col("db").alias("_db"), F.col("tbl").alias("_tbl"), "at")
+    listed = first.limit(LISTED_TABLES + 1).collect()
+    if len(listed) <= LISTED_TABLES:
+        first = changes.sparkSession.createDataFrame(listed, first.schema)
+        places = [F.col("seq.file_no").eqNullSafe(F.lit(r["at"]["file"])) & F.col("seq.block_start").eqNullSafe(F.lit(r["at"]["block"])) & (rid == F.lit(r["at"]["rid"])) for r in listed]
+        inserts = inserts.where(reduce(lambda a, b: a | b, places, F.lit(False)))
     at = F.col("at")
     same = (F.col("db") == F.col("_db")) & (F.col("tbl") == F.col("_tbl")) & F.col("seq.file_no").eqNullSafe(at["file"]) & F.col("seq.block_start").eqNullSafe(at["block"]) & (rid == at["rid"])
     return inserts.join(F.broadcast(first), same, "left_semi").select("db", "tbl", about.alias("cols"))
