@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,9 @@ from relog.functions import logline as L
 from relog.operators.replay import key_events
 from relog.sources.files import Folder
 
-#: Bytes below which a file counts as small, and bytes that compaction makes of them.
-SMALL, FULL = 64 << 20, 512 << 20
+#: Bytes below which a file counts as small, and bytes that compaction makes of them. A task sorts the rows of one file, which
+#: are several times as large in a shuffle.
+SMALL, FULL = 32 << 20, 64 << 20
 
 
 class EventStore:
@@ -60,7 +62,7 @@ class EventStore:
         if len(paths) < 2:
             return said
         size = sum({f["file"]: f["bytes"] for f in said["files"] if f["file"] in set(paths)}.values())
-        made = self._write(self.spark.read.parquet(*map(self.folder.at, paths)), max(1, size // full))
+        made = self._write(self.spark.read.parquet(*map(self.folder.at, paths)), max(1, math.ceil(size / full)))
         after = self._publish(said, [f for f in said["files"] if f["bytes"] >= small] + made)
         for n in range(1, after["version"]):
             self.folder.remove(f"versions/{n}.json")
