@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,17 +51,21 @@ def signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, row, key (128 bits of hash of the shingle set), size (its shingles), bands of docs (doc_id, row, text)."""
+def signatures(docs: DataFrame, shingle: int = SHINGLE, fingerprint: Callable[[list[bytes], int], int] | None = None) -> DataFrame:
+    """doc_id, row, key (128 bits of hash of the shingle set), size (its shingles), bands and, with a function of words and shingle
+    size that makes it, fp (64 bits as a signed long) of docs (doc_id, row, text)."""
+    more = ["fp"] if fingerprint else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [(xxhash.xxh3_128_digest(s.tobytes()), len(s), signed(bands(s))) for s in (shingle_set(t.as_py(), shingle) for t in batch.column("text"))]
             columns = [pa.array([x[0] for x in sets], pa.binary()), pa.array([x[1] for x in sets], pa.int64()), pa.array([x[2] for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *columns], names=["doc_id", "row", "key", "size", "bands"])
+            if fingerprint:
+                columns.append(pa.array(signed([fingerprint((t.as_py() or "").encode().lower().split(), shingle) for t in batch.column("text")]), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *columns], names=["doc_id", "row", "key", "size", "bands", *more])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, f"doc_id long, row {chosen.schema['row'].dataType.simpleString()}, key binary, size long, bands array<long>")
+    return chosen.mapInArrow(run, f"doc_id long, row {chosen.schema['row'].dataType.simpleString()}, " + ", ".join(["key binary", "size long", "bands array<long>", *(f"{c} long" for c in more)]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -143,9 +147,9 @@ def joining(apart: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
     return rows.repartition("lead", "at").sortWithinPartitions("lead", "at", "role", "key").mapInArrow(run, PAIR)
 
 
-def classes(docs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+def classes(docs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, pairs: DataFrame | None = None) -> DataFrame:
     """key, component (the smallest key that links reach) for the sets of prints (signatures of docs) that
-    are linked to others; docs has row and text.
+    are linked to others; docs has row and text. pairs (a, b: keys) are more candidates, found in another way.
 
     Sets that share a band meet. First each is compared with the smallest of its band: that settles
     groups of close copies by one row for each member. Then those that share a band and are in different
@@ -154,7 +158,12 @@ def classes(docs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY,
     met = prints.select("key", "size", F.explode("bands").alias("band")).distinct()
     least = met.groupBy("band").agg(F.min("key").alias("least"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
     shared = checkpoint(met.join(least, "band"))
-    wanted = prints.join(shared.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    candidates = shared.select(F.col("least").alias("a"), F.col("key").alias("b")).where("a != b")
+    asked = shared.select("key")
+    if pairs is not None:
+        candidates = candidates.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b"))
+        asked = asked.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("key")))
+    wanted = prints.join(asked.distinct(), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +172,7 @@ def classes(docs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY,
 
     texts = docs.select("row", F.col("text").cast("string").alias("text")).join(wanted, "row").dropDuplicates(["key"])
     sets = checkpoint(texts.select("key", "text").mapInArrow(cut, "key binary, part binary"))
-    star = checkpoint(verified(shared.select(F.col("least").alias("a"), F.col("key").alias("b")).where("a != b").distinct(), sets, similarity))
+    star = checkpoint(verified(candidates.distinct(), sets, similarity))
     found = components(star)
     grouped = shared.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     # pairs with the smallest key of a band have been compared

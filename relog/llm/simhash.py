@@ -183,17 +183,28 @@ def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return checkpoint(joined.join(joined.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component", "component_id"))
 
 
+def met_by_fingerprint(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """a, b: keys of prints (key, fp, size) to compare, as their fingerprints are equal or linked: each with the smallest of its
+    fingerprint, and those smallest ones along the links. Wordless texts have one key and need none."""
+    of_fp = prints.where("size > 0").select("fp", "key").distinct()
+    least = checkpoint(of_fp.groupBy("fp").agg(F.min("key").alias("least")))
+    same = of_fp.join(least, "fp").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    end = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"key_{c}"))
+    near = links(least.select("fp"), radius).join(end("a"), "a").join(end("b"), "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    return same.unionByName(near).where("a != b").distinct()
+
+
 def one_of_each(docs: DataFrame, similarity: float = nearcopies.SIMILARITY, shingle: int = nearcopies.SHINGLE) -> DataFrame:
     """docs (doc_id, text, lang, source, n_chars) with one document of each group of near copies: that of the
     smallest doc_id (null last), and of rows with that id, one by the hash of the text.
 
     Texts are near copies from a Jaccard similarity of their word shingles on; groups follow verified links.
-    At 0.8 that is about 10 of 64 fingerprint bits, too many to search by blocks, so the texts meet by
-    min-hashes instead. Rows and shingle sets are told apart by 128 bits of hash each."""
+    The closest ones meet by their fingerprints, in BK-trees (met_by_fingerprint). At 0.8 the fingerprints differ in about 10 of
+    64 bits, too many to search by blocks, so those that differ more meet by min-hashes. Rows and shingle sets are told apart by 128 bits of hash each."""
     said = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     docs = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("row", F.unhex(F.md5(F.concat_ws(":", said("doc_id"), said("text")))))
-    prints = checkpoint(nearcopies.signatures(docs, shingle))
-    found = nearcopies.classes(docs, prints, similarity, shingle)
+    prints = checkpoint(nearcopies.signatures(docs, shingle, fingerprint))
+    found = nearcopies.classes(docs, prints, similarity, shingle, checkpoint(met_by_fingerprint(prints)))
     grouped = prints.select("doc_id", "row", "key").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x")).select("x.row")
     same = W.partitionBy("row").orderBy("lang", "source", "n_chars")
