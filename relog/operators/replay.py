@@ -38,8 +38,10 @@ def incarnations(events: DataFrame) -> DataFrame:
 
 def value_at(cols: Column, name: str) -> Column:
     """Struct of a column's new value if the change has the column, else null: an assignment of NULL is
-    not the same as no assignment."""
-    return F.get(F.transform(F.filter(cols, lambda c: (c["name"] == name) & ~c["is_pk"]), lambda c: F.struct(c["new"].alias("v"))), 0)
+    not the same as no assignment. The column is found by expressions that Spark compiles, as functions with lambdas
+    are interpreted, for each column and event."""
+    at = F.array_position(F.arrays_zip(cols["name"].alias("name"), cols["is_pk"].alias("is_pk")), F.struct(F.lit(name).alias("name"), F.lit(False).alias("is_pk")))
+    return F.when(at > 0, F.struct(F.get(cols, (at - 1).cast("int"))["new"].alias("v")))
 
 
 def segments(events: DataFrame, columns: list[str]) -> DataFrame:
@@ -67,8 +69,12 @@ def chain_roots(links: DataFrame) -> DataFrame:
     key = ["db", "tbl"]
     known = links.select(*key, F.col("id").alias("up")).withColumn("is_id", F.lit(True))
     pointers = reliable(links.join(known, [*key, "up"], "left").select(*key, "id", F.when(F.col("is_id"), F.col("up")).alias("up")))
-    found = [pointers.where("up is null").select(*key, "id", F.col("id").alias("root"))]
-    open_ = pointers.where("up is not null")
+    return doubled(pointers.where("up is null").select(*key, "id", F.col("id").alias("root")), pointers.where("up is not null"))
+
+
+def doubled(rooted: DataFrame, open_: DataFrame) -> DataFrame:
+    """db, tbl, id, root of rows whose root is known, and of others (db, tbl, id, up) that follow up to these."""
+    key, found = ["db", "tbl"], [rooted]
     while not open_.isEmpty():
         at_root = reduce(DataFrame.unionByName, found).select(*key, F.col("id").alias("up"), "root")
         hop = open_.select(*key, F.col("id").alias("up"), F.col("up").alias("next"))
@@ -82,13 +88,15 @@ def chain_roots(links: DataFrame) -> DataFrame:
 
 
 def roots(moved: DataFrame) -> DataFrame:
-    """db, tbl, start_seq, root: the first segment of the chain of moves that each of the segments is in. A segment
-    that a move began follows the one that the same move ended."""
+    """db, tbl, start_seq, root: the first segment of the chain of moves that each of the segments that a move began is
+    in. Such a segment follows the one that the same move ended; where no move began that one, it is the root, so
+    only those of the second move of a chain and of later ones take part in pointer doubling."""
     key = ["db", "tbl"]
-    ends = moved.where("moved_away").select(*key, F.col("end_seq").alias("child"), F.col("start_seq").alias("parent"))
-    starts = moved.select(*key, "start_seq", "from_move")
-    found = starts.join(ends, [*(starts[c] == ends[c] for c in key), starts["from_move"] & (starts["start_seq"] == ends["child"])], "left")
-    return chain_roots(found.select(*[starts[c] for c in key], F.col("start_seq").alias("id"), F.col("parent").alias("up"))).withColumnRenamed("id", "start_seq")
+    ends = moved.where("moved_away").select(*key, F.col("end_seq").alias("id"), F.col("start_seq").alias("up"), F.col("from_move").alias("goes_on"))
+    begun = moved.where("from_move").select(*key, F.col("start_seq").alias("id"))
+    found = reliable(begun.join(ends, [*key, "id"], "left"))
+    rooted = found.where("up is null or not goes_on").select(*key, "id", F.coalesce("up", "id").alias("root"))
+    return doubled(rooted, found.where("goes_on").select(*key, "id", "up")).withColumnRenamed("id", "start_seq")
 
 
 def replay(changes: DataFrame, db: str, tbl: str, schema: TableSchema | None = None) -> DataFrame:
@@ -105,7 +113,8 @@ def replay(changes: DataFrame, db: str, tbl: str, schema: TableSchema | None = N
     moved = found.where(F.col("from_move") | F.coalesce("moved_away", F.lit(False)))
     rows = alone
     if not moved.isEmpty():
-        chains = moved.join(roots(moved), ["db", "tbl", "start_seq"])
+        begun = moved.where("from_move")
+        chains = begun.join(roots(moved), ["db", "tbl", "start_seq"]).unionByName(moved.where("not from_move").withColumn("root", F.col("start_seq")))
         live = F.when(F.col("end_seq").isNull(), F.col("pk"))
         merged = chains.groupBy("db", "tbl", "root").agg(F.max(live).alias("pk"), *[F.max(v).alias(v) for v in values])
         rows = alone.unionByName(merged.where(F.col("pk").isNotNull()).select("pk", *values))

@@ -32,35 +32,27 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     to NULL for every eleventh; 4 move every fifth key up; 5 move every 25th again, with a new status;
     6 delete every seventh key's row; 7 insert anew at every 35th key, which moves have vacated."""
     o = spread(spark.read.parquet(f"{sf_dir}/orders.parquet")).select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("cust"), F.floor(F.col("o_totalprice") * 100).cast("long").alias("cents"))
-    k, none = F.col("k"), F.lit(None).cast("string")
-    second = F.when(k % 5 == 0, k + STEP).otherwise(k)
-    third = F.when(k % 25 == 0, k + 2 * STEP).otherwise(second)
+    k, phase, none = F.col("k"), F.col("phase"), F.lit(None).cast("string")
+    third = k + F.when(k % 25 == 0, 2 * STEP).when(k % 5 == 0, STEP).otherwise(0)
     status = F.when(k % 11 == 0, none).otherwise(F.col("status"))
     priority = F.when(k % 3 == 0, F.concat(F.lit("P"), (k % 10).cast("string"))).otherwise(F.col("priority"))
 
-    def line(phase: int, op: str, *triples: Column) -> Column:
-        return F.struct(F.lit(phase).alias("phase"), L.line_text(F.concat(F.lit(f"b{phase}:"), k), F.lit(1_500_000_000_000) + k % 1000, DB, ORDERS, F.lit(op), *triples).alias("value"))
-
-    def ident(old: Column, new: Column) -> Column:
-        return L.triple_text("id", L.NUMBER, True, old, new)
-
-    def text(name: str, old: Column, new: Column) -> Column:
-        return L.triple_text(name, L.STRING, False, old, new)
-
-    def number(name: str, old: Column, new: Column) -> Column:
-        return L.triple_text(name, L.NUMBER, False, old, new)
-
-    insert = line(1, L.INSERT, ident(none, k), text("status", none, F.col("status")), text("priority", none, F.col("priority")), number("cust", none, F.col("cust")), number("cents", none, F.col("cents")))
-    lines = F.array(
-        insert,
-        F.when(k % 3 == 0, line(2, L.UPDATE, ident(k, k), text("priority", F.col("priority"), priority))),
-        F.when(k % 11 == 0, line(3, L.UPDATE, ident(k, k), text("status", F.col("status"), none))),
-        F.when(k % 5 == 0, line(4, L.UPDATE, ident(k, k + STEP))),
-        F.when(k % 25 == 0, line(5, L.UPDATE, ident(k + STEP, third), text("status", status, F.lit("M")))),
-        F.when(k % 7 == 0, line(6, L.DELETE, ident(third, none), text("status", F.when(k % 25 == 0, "M").otherwise(status), none), text("priority", priority, none), number("cust", F.col("cust"), none), number("cents", F.col("cents"), none))),
-        F.when(k % 35 == 0, line(7, L.INSERT, ident(none, k), text("status", none, F.col("status")), text("priority", none, F.lit("RE")), number("cust", none, F.col("cust")), number("cents", none, F.col("cents")))),
+    def triple(name: str, kind: int, old: dict[int, Column], new: dict[int, Column], is_key: bool = False) -> Column:
+        """A column's fields of a line of each phase that has an old or a new value for it."""
+        in_phase = lambda values: F.coalesce(*[F.when(phase == p, v.cast("string")) for p, v in values.items()])
+        return F.when(phase.isin(sorted(old.keys() | new.keys())), L.triple_text(name, kind, is_key, in_phase(old), in_phase(new)))
+
+    op = F.when(phase.isin(1, 7), L.INSERT).when(phase == 6, L.DELETE).otherwise(L.UPDATE)
+    value = L.line_text(
+        F.concat(F.lit("b"), phase.cast("string"), F.lit(":"), k), F.lit(1_500_000_000_000) + k % 1000, DB, ORDERS, op,
+        triple("id", L.NUMBER, {2: k, 3: k, 4: k, 5: k + STEP, 6: third}, {1: k, 2: k, 3: k, 4: k + STEP, 5: third, 7: k}, True),
+        triple("status", L.STRING, {3: F.col("status"), 5: status, 6: F.when(k % 25 == 0, "M").otherwise(status)}, {1: F.col("status"), 5: F.lit("M"), 7: F.col("status")}),
+        triple("priority", L.STRING, {2: F.col("priority"), 6: priority}, {1: F.col("priority"), 2: priority, 7: F.lit("RE")}),
+        *[triple(c, L.NUMBER, {6: F.col(c)}, {1: F.col(c), 7: F.col(c)}) for c in ("cust", "cents")],
     )
-    return o.select("k", F.explode(lines).alias("x")).where(F.col("x").isNotNull()).select("x.value", seq(F.col("x.phase"), k).alias("seq"))
+    phases = F.array(F.lit(1), *[F.when(k % n == 0, p) for p, n in ((2, 3), (3, 11), (4, 5), (5, 25), (6, 7), (7, 35))])
+    # one expression for the lines of all phases: with seven, the generated method is too large for the JVM to compile
+    return o.select("*", F.explode(phases).alias("phase")).where(phase.isNotNull()).select(value.alias("value"), seq(phase, k).alias("seq"))
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from relog.operators import replay as R
 from relog.operators.running import running
-from relog.plans.derived import event_lines
+from relog.plans.derived import event_lines, order_lines
 from relog.sources import changelog as C
 from relog.sources import store
 from relog.sources.store import EventStore
@@ -54,3 +55,32 @@ def test_compaction_makes_files_that_tasks_can_sort(spark, tmp_path):
     size = sum(f["bytes"] for f in kept.append(changes, 4)["files"])
     after = kept.compact(full=size * 2 // 3)  # one and a half times what a file should hold
     assert len({f["file"] for f in after["files"]}) == 2 and sum(f["rows"] for f in after["files"]) == 2 * changes.count()
+
+
+def test_lines_are_made_by_code_that_the_jvm_compiles(spark, capsys):
+    """The JVM interprets methods of more than 8000 bytes."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        order_lines(spark, SF).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_a_value_is_found_without_lambdas(spark, capsys):
+    cols = [("id", 1, True, None, "x"), ("a", 1, False, None, None), ("a", 2, False, None, "late"), ("c", 2, True, "p", "q"), ("c", 2, False, "p", "r"), (None, 2, False, None, "s")]
+    df = spark.createDataFrame([(cols,), ([],), (None,)], "cols array<struct<name:string,type:int,is_pk:boolean,old:string,new:string>>")
+    got = df.select(*[R.value_at(F.col("cols"), n).alias(n) for n in ("id", "a", "c", "none")])
+    got.explain()
+    assert "lambda" not in capsys.readouterr().out
+    assert [tuple(r) for r in got.collect()] == [(None, (None,), ("r",), None), (None,) * 4, (None,) * 4]
+
+
+def test_only_later_moves_of_a_chain_are_doubled(spark, monkeypatch):
+    """A segment whose parent no move began has that as its root at once; one without a parent is its own root."""
+    moved = spark.createDataFrame([("d", "t", s, e, f, a) for s, e, f, a in ((1, 3, False, True), (3, 5, True, True), (5, 7, True, True), (7, None, True, False), (2, 4, False, True), (4, None, True, False), (6, None, True, False))], "db string, tbl string, start_seq int, end_seq int, from_move boolean, moved_away boolean")
+    seen, doubled = [], R.doubled
+    monkeypatch.setattr(R, "doubled", lambda rooted, open_: seen.append(open_.count()) or doubled(rooted, open_))
+    assert {r["start_seq"]: r["root"] for r in R.roots(moved).collect()} == {3: 1, 5: 1, 7: 1, 4: 2, 6: 6}
+    assert seen == [2]
