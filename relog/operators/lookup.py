@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from relog.functions import logline as L
-from relog.operators.replay import END, chain_roots, key_events, replay
+from relog.operators.replay import END, doubled, key_events, replay
 from relog.operators.running import reliable, running
 from relog.sources.changelog import TableSchema, infer_schema, of_table
 
@@ -47,7 +47,9 @@ def led_from(moves: DataFrame, into: DataFrame) -> DataFrame:
     same = ["db", "tbl"]
     told = moves.select(*same, F.col("new_pk").alias("pk"), "seq", F.col("seq").alias("id"))
     before = as_of_join(told, moves.select(*same, F.col("old_pk").alias("pk"), "seq"))
-    chains = reliable(chain_roots(before.select(*same, F.col("seq").alias("id"), F.col("state.id").alias("up"))).withColumnRenamed("id", "seq"))
+    links = reliable(before.select(*same, F.col("seq").alias("id"), F.col("state.id").alias("up")))  # each up is a move's place
+    rooted = links.where("up is null").select(*same, "id", F.col("id").alias("root"))
+    chains = reliable(doubled(rooted, links.where("up is not null")).withColumnRenamed("id", "seq"))
     wanted = into.select(*same, "seq").join(chains, [*same, "seq"]).groupBy(*same, "root").agg(F.max("seq").alias("upto"))
     return moves.join(chains, [*same, "seq"]).join(wanted, [*same, "root"]).where("seq <= upto").select(*same, F.col("old_pk").alias("pk")).distinct()
 

@@ -84,3 +84,15 @@ def test_only_later_moves_of_a_chain_are_doubled(spark, monkeypatch):
     monkeypatch.setattr(R, "doubled", lambda rooted, open_: seen.append(open_.count()) or doubled(rooted, open_))
     assert {r["start_seq"]: r["root"] for r in R.roots(moved).collect()} == {3: 1, 5: 1, 7: 1, 4: 2, 6: 6}
     assert seen == [2]
+
+
+def test_keys_that_led_to_a_move_take_no_join_for_known_places(spark, monkeypatch):
+    """Each link of moves leads to a move, so no join asks whether it does."""
+    from relog.operators import lookup
+
+    at = lambda i: (1, 0, i)
+    moves = spark.createDataFrame([("d", "t", at(i), a, b) for i, (a, b) in enumerate([(1, 2), (2, 3), (3, 4), (8, 9)])], "db string, tbl string, seq struct<file_no:int,block_start:long,rid:long>, old_pk int, new_pk int")
+    seen, doubled = [], R.doubled
+    monkeypatch.setattr(lookup, "doubled", lambda rooted, open_: seen.append(open_.count()) or doubled(rooted, open_))
+    assert {r["pk"] for r in lookup.led_from(moves, moves.where("new_pk = 4")).collect()} == {1, 2, 3}
+    assert seen == [2]
