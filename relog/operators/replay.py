@@ -19,16 +19,53 @@ def key_events(changes: DataFrame) -> DataFrame:
     update that moves the key (END of the old key and START of the new one, both marked as moved).
 
     Changes without a usable key or with another operation give no event."""
-    event = lambda pk, kind, moved, cols: F.struct(pk.alias("pk"), F.lit(kind).alias("kind"), F.lit(moved).alias("moved"), cols.alias("cols"))
-    cols, none = F.col("cols"), F.array().cast(f"array<{L.COL_TYPE}>")
-    old, new = F.col("old_pk"), F.col("new_pk")
-    events = (
-        F.when((F.col("op") == L.INSERT) & new.isNotNull(), F.array(event(new, START, False, cols)))
-        .when((F.col("op") == L.DELETE) & old.isNotNull(), F.array(event(old, END, False, none)))
-        .when((F.col("op") == L.UPDATE) & (old == new), F.array(event(new, MOD, False, cols)))
-        .when((F.col("op") == L.UPDATE) & (old != new), F.array(event(old, END, True, none), event(new, START, True, cols)))
-    )
-    return changes.select("db", "tbl", "seq", "op", "ts_ms", F.explode(events).alias("e")).select("db", "tbl", "e.pk", "seq", "op", "e.kind", "e.moved", "e.cols", "ts_ms")
+    return events_of(changes, {"cols": F.array().cast(f"array<{L.COL_TYPE}>")})
+
+
+def value_events(changes: DataFrame, schema: TableSchema) -> DataFrame:
+    """key_events with v0, v1, ..., value_at of each of the schema's columns, instead of cols (ENDs set none)."""
+    values = [f"v{i}" for i in range(len(schema.values))]
+    told = from_fields(changes, schema) if "parts" in changes.columns else changes.select("*", *[value_at(F.col("cols"), c).alias(v) for c, v in zip(schema.values, values, strict=True)])
+    return events_of(told, dict.fromkeys(values, F.lit(None).cast("struct<v:string>")))
+
+
+def from_fields(changes: DataFrame, schema: TableSchema) -> DataFrame:
+    """db, tbl, seq, ts_ms, op, old_pk, new_pk, v0, v1, ... of changes that have their fields.
+
+    Where a line's key is its first column and each of its columns is one of the schema's, with its type, the places
+    of the columns' heads tell all: as many as there are columns, so none is there twice or under another type. Only
+    for other lines cols are made. Spark compiles all for the first kind; the steps stand in generators of one row,
+    which keep each within a method that the JVM compiles, and don't copy the fields into a row."""
+    n, key = len(schema.values), next(f"{name}:{kind}:1" for name, kind, is_key in schema.columns if is_key)
+    heads = [f"{name}:{kind}:0" for name, kind, is_key in schema.columns if not is_key]
+    parts, p = F.col("parts"), [F.col(f"p.p{i}") for i in range(n)]
+    one = lambda *columns: F.explode(F.array(F.struct(*columns)))
+    found = changes.select("db", "tbl", "seq", "ts_ms", "op", "parts", one(F.lit(0).alias("none"), *[F.array_position(parts, F.lit(h)).cast("int").alias(f"p{i}") for i, h in enumerate(heads)]).alias("p"))
+    is_head = [(at > L.HEADER) & (at % 3 == (L.HEADER + 1) % 3) for at in p]
+    n_found = sum([h.cast("int") for h in is_head], F.lit(1))
+    plain = (F.get(parts, F.lit(L.HEADER)) == key) & (F.size(parts) == n_found * 3 + L.HEADER)
+    number = lambda i: L.decoded(F.get(parts, F.lit(L.HEADER + i))).try_cast(L.KEY_TYPE)
+    values = [F.when(h, F.struct(L.decoded(F.get(parts, at + 1)).alias("v"))).alias(f"v{i}") for i, (h, at) in enumerate(zip(is_head, p, strict=True))]
+    read = found.select("db", "tbl", "seq", "ts_ms", one("op", number(1).alias("old"), number(2).alias("new"), F.when(~F.coalesce(plain, F.lit(False)), parts).alias("odd"), *values).alias("x"))
+    odd = F.col("x.odd")
+    others = lambda usual, other: F.when(odd.isNull(), F.col(f"x.{usual}")).otherwise(other)
+    keys = [others(side, L.key_of(odd, side)).alias(f"{side}_pk") for side in ("old", "new")]
+    in_cols = [others(f"v{i}", value_at(L.column_changes(odd), c)).alias(f"v{i}") for i, c in enumerate(schema.values)]
+    return read.select("db", "tbl", "seq", "ts_ms", F.col("x.op").alias("op"), *keys, *in_cols)
+
+
+def events_of(changes: DataFrame, says: dict[str, Column]) -> DataFrame:
+    """Key events that carry some columns of their changes; says gives what ENDs have instead.
+
+    The array of events always has two places: for one that may be empty, Spark makes a filter that works out
+    the array once more."""
+    op, old, new = F.col("op"), F.col("old_pk"), F.col("new_pk")
+    moves = F.coalesce((op == L.UPDATE) & (old != new), F.lit(False))
+    kind = F.when((op == L.INSERT) & new.isNotNull(), START).when(((op == L.DELETE) & old.isNotNull()) | moves, END).when((op == L.UPDATE) & (old == new), MOD)
+    event = lambda pk, kind, moved: F.struct(pk.alias("pk"), kind.alias("kind"), moved.alias("moved"))
+    events = F.array(event(F.when(op == L.INSERT, new).otherwise(old), kind, moves), F.when(moves, event(new, F.lit(START), F.lit(True))))
+    exploded = changes.select("db", "tbl", "seq", "op", "ts_ms", *says, F.explode(events).alias("e")).where(F.col("e.kind").isNotNull())
+    return exploded.select("db", "tbl", "e.pk", "seq", "op", "e.kind", "e.moved", *[F.when(F.col("e.kind") == END, none).otherwise(F.col(c)).alias(c) for c, none in says.items()], "ts_ms")
 
 
 def incarnations(events: DataFrame) -> DataFrame:
@@ -44,18 +81,18 @@ def value_at(cols: Column, name: str) -> Column:
     return F.when(at > 0, F.struct(F.get(cols, (at - 1).cast("int"))["new"].alias("v")))
 
 
-def segments(events: DataFrame, columns: list[str]) -> DataFrame:
+def segments(changes: DataFrame, schema: TableSchema) -> DataFrame:
     """One row for each incarnation of a key: start_seq, end_seq, from_move, moved_away, and for each
     column the last value set in it with its seq."""
     seq = F.col("seq")
-    events = incarnations(events.select("db", "tbl", "pk", "seq", "kind", "moved", *[value_at(F.col("cols"), c).alias(f"v{i}") for i, c in enumerate(columns)])).where(F.col("inc") > 0)
+    events = incarnations(value_events(changes, schema).drop("op", "ts_ms")).where(F.col("inc") > 0)
     aggregates = [
         F.min(F.when(F.col("kind") == START, seq)).alias("start_seq"),
         F.min(F.when(F.col("kind") == END, seq)).alias("end_seq"),
         F.max((F.col("kind") == START) & F.col("moved")).alias("from_move"),
         F.min_by("moved", F.when(F.col("kind") == END, seq)).alias("moved_away"),
     ]
-    for i in range(len(columns)):
+    for i in range(len(schema.values)):
         aggregates.append(F.max(F.when(F.col(f"v{i}").isNotNull(), F.struct(seq.alias("seq"), F.col(f"v{i}.v").alias("v")))).alias(f"v{i}"))
     return events.groupBy("pk", "tbl", "db", "inc").agg(*aggregates)
 
@@ -107,7 +144,7 @@ def replay(changes: DataFrame, db: str, tbl: str, schema: TableSchema | None = N
     that has not ended. A chain without one was deleted."""
     changes = of_table(changes, db, tbl)
     schema = schema or infer_schema(changes, db, tbl)
-    found = reliable(segments(key_events(changes), schema.values))
+    found = reliable(segments(changes, schema))
     values = [f"v{i}" for i in range(len(schema.values))]
     alone = found.where(~F.col("from_move") & F.col("end_seq").isNull()).select("pk", *values)
     moved = found.where(F.col("from_move") | F.coalesce("moved_away", F.lit(False)))

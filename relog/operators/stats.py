@@ -76,7 +76,7 @@ def misplaced_events(changes: DataFrame) -> DataFrame:
 
 def incomplete_rows(changes: DataFrame, schema: TableSchema) -> DataFrame:
     """db, tbl, seq, pk of inserts that leave columns of the table unset."""
-    found = segments(key_events(changes), schema.values).where(~F.col("from_move"))
+    found = segments(changes, schema).where(~F.col("from_move"))
     missing = [F.col(f"v{i}").isNull() for i in range(len(schema.values))]
     any_missing = F.lit(False)
     for m in missing:
@@ -86,7 +86,7 @@ def incomplete_rows(changes: DataFrame, schema: TableSchema) -> DataFrame:
 
 def quality_report(changes: DataFrame, schema: TableSchema) -> DataFrame:
     """All problems of a table's log: db, tbl, seq, pk, problem. Lines are parsed once, into a checkpoint."""
-    changes = reliable(changes)
+    changes = reliable(changes.drop("parts"))
     return broken_lines(changes).unionByName(misplaced_events(changes)).unionByName(incomplete_rows(changes, schema))
 
 

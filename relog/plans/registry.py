@@ -332,7 +332,7 @@ def snapshot_merge(spark, sf_dir):
     changes = order_changes(spark, sf_dir)
     early = replay(lookup.as_of(changes, seq(3, F.lit(STEP))), DB, ORDERS, ORDER_SCHEMA)
     late = of_table(changes, DB, ORDERS).where(F.col("seq.file_no") > 3)
-    return plain(replay(as_inserts(early, DB, ORDERS, ORDER_SCHEMA).unionByName(late), DB, ORDERS, ORDER_SCHEMA))
+    return plain(replay(as_inserts(early, DB, ORDERS, ORDER_SCHEMA).unionByName(late.drop("parts")), DB, ORDERS, ORDER_SCHEMA))
 
 
 @query(f"SELECT '{USERS}' AS tbl, 'user' AS key, 3 AS n_columns")

@@ -42,14 +42,15 @@ def numbered(raw: DataFrame) -> DataFrame:
 
 
 def parse(lines_: DataFrame) -> DataFrame:
-    """Changes of lines (value, seq): seq, binlog_id, ts_ms, db, tbl, op, old_pk, new_pk, cols, n_fields.
+    """Changes of lines (value, seq): seq, binlog_id, ts_ms, db, tbl, op, old_pk, new_pk, cols, n_fields, and the fields
+    themselves (parts), from which replay takes what it needs without cols.
 
     Broken lines are kept, with null where nothing could be read, for the quality report; replay passes
     over them. A line is split by a generator of one row: filters on changes stay above that, while below a plain
     projection each of their terms would make and split the line anew."""
     parts = lines_.select("seq", F.explode(F.array(L.fields(F.col("value")))).alias("parts"))
     part = lambda i: F.get("parts", F.lit(i))
-    return parts.select("seq", part(0).alias("binlog_id"), part(1).try_cast("long").alias("ts_ms"), part(2).alias("db"), part(3).alias("tbl"), part(4).alias("op"), L.column_changes(F.col("parts")).alias("cols"), F.size("parts").alias("n_fields"), L.key_of(F.col("parts"), "old").alias("old_pk"), L.key_of(F.col("parts"), "new").alias("new_pk"))
+    return parts.select("seq", part(0).alias("binlog_id"), part(1).try_cast("long").alias("ts_ms"), part(2).alias("db"), part(3).alias("tbl"), part(4).alias("op"), L.column_changes(F.col("parts")).alias("cols"), F.size("parts").alias("n_fields"), L.key_of(F.col("parts"), "old").alias("old_pk"), L.key_of(F.col("parts"), "new").alias("new_pk"), "parts")
 
 
 def read_changelog(spark: SparkSession, path: str | list[str], complete: bool = False) -> DataFrame:
@@ -64,7 +65,7 @@ def of_table(changes: DataFrame, db: str, tbl: str) -> DataFrame:
 
 def write_changes(changes: DataFrame, path: str) -> None:
     """Changes as Parquet by schema and table, so that a query reads only its table's files."""
-    changes.write.mode("overwrite").partitionBy("db", "tbl").parquet(path)
+    changes.drop("parts").write.mode("overwrite").partitionBy("db", "tbl").parquet(path)
 
 
 def read_changes(spark: SparkSession, path: str) -> DataFrame:

@@ -98,7 +98,7 @@ class State:
             held = self._read(schema, self.paths(said, touched))
             known = F.broadcast(named) if named.count() <= BROADCAST_KEYS else named
             same = held[schema.key] == known["pk"]
-            replayed = replay(as_inserts(held.join(known, same, "left_semi"), self.db, self.tbl, schema).unionByName(changes), self.db, self.tbl, schema)
+            replayed = replay(as_inserts(held.join(known, same, "left_semi"), self.db, self.tbl, schema).unionByName(changes.drop("parts")), self.db, self.tbl, schema)
             rows = held.join(known, same, "left_anti").unionByName(replayed).withColumn("bucket", self.bucket(F.col(schema.key), said))
             rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(self.folder.at(f"rows/{number}"))
             now = {n.removeprefix("bucket=") for n in self.folder.names(f"rows/{number}") if n.startswith("bucket=")}

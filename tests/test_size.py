@@ -96,3 +96,38 @@ def test_keys_that_led_to_a_move_take_no_join_for_known_places(spark, monkeypatc
     monkeypatch.setattr(lookup, "doubled", lambda rooted, open_: seen.append(open_.count()) or doubled(rooted, open_))
     assert {r["pk"] for r in lookup.led_from(moves, moves.where("new_pk = 4")).collect()} == {1, 2, 3}
     assert seen == [2]
+
+
+def test_values_are_read_from_fields(spark, capsys):
+    """Columns are only built for lines that are not as the schema says; the values are the same for all lines."""
+    schema = C.TableSchema((("id", 1, True), ("a", 2, False), ("b", 1, False)))
+    usual = ["|x|1|d|t|I|id:1:1|NULL|1|a:2:0|NULL|p|b:1:0|NULL|7|", "x|1|d|t|U|id:1:1|1|1|b:1:0|7|NULL", "|x|1|d|t|U|id:1:1|1|2|", "|x|1|d|t|D|id:1:1|2|NULL|a:2:0|p|NULL|b:1:0|NULL|<NULL>|"]
+    odd = [
+        "|x|1|d|t|I|a:2:0|NULL|first|id:1:1|NULL|3|",  # the key comes second
+        "|x|1|d|t|I|id:1:1|NULL|4|a:1:0|NULL|1|a:2:0|NULL|2|",  # twice, once under another type
+        "|x|1|d|t|I|id:1:1|NULL|5|a:2:0|NULL|1|a:2:0|NULL|2|",
+        "|x|1|d|t|I|id:1:1|NULL|6|b:1:0|a:2:0|a:2:0|a:2:0|NULL|v|",  # values that read like a column's head
+        "|a:2:0|1|d|t|I|id:1:1|NULL|7|a:2:0|NULL|v|",
+        "|x|1|d|t|I|id:1:1|NULL|8|a:2:1|NULL|key|a|NULL|bare|c:2:0|NULL|more|",
+        "|x|1|d|t|I|id:1:1|NULL|9|a:2:0|NULL|",  # fields that don't come out even
+        "|x|1|d|t|Q|id:1:1|NULL|10|a:2:0|NULL|v|",
+        "|x|1|d|t|I|id:1:1|NULL|no number|a:2:0|NULL|v|",
+        "|x|1",
+    ]
+    rows = [(text, (1, 0, i)) for i, text in enumerate(usual + odd)]
+    changes = C.parse(spark.createDataFrame(rows, "value string, seq struct<file_no:int,block_start:long,rid:long>"))
+    events = R.value_events(changes, schema)
+    assert sorted(map(repr, events.collect())) == sorted(map(repr, R.value_events(changes.drop("parts"), schema).collect()))
+    firsts = {int(r["pk"]): (r["v0"] and r["v0"]["v"], r["v1"] and r["v1"]["v"]) for r in events.where("kind = 'START'").collect()}
+    assert firsts == {1: ("p", "7"), 2: (None, None), 3: ("first", None), 4: ("1", None), 5: ("1", None), 6: ("v", "a:2:0"), 7: ("v", None), 8: ("bare", None)}
+    capsys.readouterr()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = R.value_events(C.parse(order_lines(spark, SF)), schema)
+        made.explain("extended")
+        taken_apart = [x for x in capsys.readouterr().out.split("== Physical Plan ==")[1].splitlines() if "lambda" in x]
+        assert taken_apart and all(".odd" in x and not re.search(r"transform\([^)]*parts#", x) for x in taken_apart)
+        made.explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)) < 8000
